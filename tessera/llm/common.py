@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,6 +52,24 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    name = __name__.split(".")[0]
+    root = Path(importlib.import_module(name).__file__).parent
+    out = Path(tempfile.mkdtemp(prefix="tessera-ship-")) / f"{name}.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    context.addPyFile(str(out))
+    _shipped.add(context.applicationId)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

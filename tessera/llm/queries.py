@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, sharding
+from . import chat, exact_dedup, langid, mixing, ngram_join, packing, quality, sharding, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +76,49 @@ select doc_id, text, lang, source, n_chars, mix_copy, mix_copies,
   ('0x' || substr(md5('18:' || coalesce(doc_id::varchar, '') || ':' || mix_copy), 1, 13))::bigint::double / 4503599627370496.0 as mix_key
 from x""",
 }
+
+
+def op1_rank_order_profiles(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit_profiles(docs))
+
+
+def op2_chunk_recipes(spark, sf_dir):
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+QUERIES |= {f.__name__: f for f in (op1_rank_order_profiles, op2_chunk_recipes)}
+ORACLES["op2_chunk_recipes"] = """
+with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
+  doc_id is not distinct from max(doc_id) over w as kept, sha256(t) as text_sha256
+from d window w as (partition by t)"""
+
+
+def op3_partenum_join(spark, sf_dir):
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+QUERIES[op3_partenum_join.__name__] = op3_partenum_join
+
+
+def op5_maximal_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("segments")
+
+
+def op9_seekable_warc(spark, sf_dir):
+    _, records = warc.archive(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES |= {f.__name__: f for f in (op5_maximal_segments, op9_seekable_warc)}
+ORACLES["op9_seekable_warc"] = """
+with p as (select page_id, coalesce(html, '') as x from pages),
+d as (select page_id, x, strlen(x) as payload_bytes, sha1(x) as h, min(page_id) over (partition by x) as first from p)
+select page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), 'string_agg', '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from d"""
