@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ship, stored
+from .common import LOWER, UPPER, ascii_lower, fresh, ship, stored
 from .tokens import mix
 
 LEAST, MOST, MASK = 1024, 16_384, (1 << 11) - 1
@@ -137,3 +137,24 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     out = slim.join(groups, F.col("recipe") == F.col("_r"), "left")
     keep = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", (F.octet_length("recipe") / 16).cast("int").alias("n_chunks"))
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 200_000) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns, and once each.
+
+    Rows are dropped by (id, digest of the text), so rows that repeat an id with
+    another text are judged apart. The dropped list is broadcast up to
+    ``most_broadcast`` rows and joined by a shuffle above that. Rows that repeat
+    both id and text become one; only if there are such rows are texts moved
+    for it.
+    """
+    result = stored(exact_dedup(docs, doc_id, text).select("doc_id", "text_sha256", "kept"), "dedup")
+    gone = result.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    few = gone.count() <= most_broadcast
+    digest = F.sha2(ascii_lower(docs[text]).cast("binary"), 256)
+    left = docs.join(F.broadcast(gone) if few else gone, docs[doc_id].eqNullSafe(F.col("_gone")) & (digest == F.col("_sha")), "left_anti")
+    again = result.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if again.isEmpty():
+        return left
+    key = fresh(docs, "_digest")
+    return left.withColumn(key, F.sha2(ascii_lower(left[text]).cast("binary"), 256)).dropDuplicates([doc_id, key]).drop(key)

@@ -103,7 +103,7 @@ class PartEnum:
             s = self.scheme(family)
             for seed in itertools.count():
                 cells = s.n1 * s.n2
-                cell = ((mix(features + np.uint64(seed + 1) * _G) >> np.uint64(32)) % np.uint64(cells)).astype(np.int64)
+                cell = ((mix(features + np.uint64((seed + 1) * int(_G) & (1 << 64) - 1)) >> np.uint64(32)) % np.uint64(cells)).astype(np.int64)
                 sums = np.zeros(cells, dtype=np.uint64)
                 np.add.at(sums, cell, value)
                 filled = np.bincount(cell, minlength=cells).reshape(s.n1, s.n2) > 0
@@ -327,3 +327,15 @@ def connected(edges: DataFrame, label: str = "links") -> DataFrame:
         if tuple(new) == mark:
             return now.select(F.col("b").alias("v"), F.col("a").alias("root"))
         mark = tuple(new)
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` with one document of each component, the one with the smallest id.
+
+    Rows with a null id stay. The dropped ids are broadcast up to
+    ``most_broadcast`` and joined by a shuffle above that.
+    """
+    found = ngram_components(docs, n, num, den, cells, doc_id=doc_id, text=text)
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near")
+    few = gone.count() <= most_broadcast
+    return docs.join(F.broadcast(gone) if few else gone, docs[doc_id] == F.col("_gone"), "left_anti")

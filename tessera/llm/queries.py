@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import chat, exact_dedup, langid, mixing, ngram_join, packing, quality, sharding, toxicity, warc
 
 
@@ -122,3 +124,10 @@ select page_id, payload_bytes,
   case when page_id = first then 'response' else 'revisit' end as record_type,
   case when page_id <> first then first end as refers_to
 from d"""
+
+
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline

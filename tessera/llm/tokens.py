@@ -104,7 +104,7 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     if len(words) < n:
         h = np.uint64(len(words))
         for w in words:
-            h = mix(np.array([h * np.uint64(3) + w], dtype=np.uint64))[0]
+            h = mix(np.array([(int(h) * 3 + int(w)) & _MASK], dtype=np.uint64))[0]
         return np.array([h], dtype=np.uint64)
     h = np.zeros(len(words) - n + 1, dtype=np.uint64)
     for j in range(n):
