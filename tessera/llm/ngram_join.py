@@ -13,7 +13,9 @@ Empty subsets would bring unrelated sets together. They are never emitted:
 spare first-level parts make up for the poor ones (with too few filled cells),
 and a set with more poor parts than spare ones also emits signatures under the
 next seed. Two sets meet under the smaller of their last seeds, where one of
-them has no more poor parts than spares.
+them has no more poor parts than spares. A set that is still poor under the
+last seed (a tiny one) adds a signature for each feature of its prefix in hash
+order; two such sets that are similar enough share one of these.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from .exact_dedup import normalise
 from .tokens import mix, shingle_set, word_hashes
 
 _G = np.uint64(0x9E3779B97F4A7C15)
-SKETCH = 512
+SKETCH, SEEDS = 512, 8
 #: Kinds of signature rows: met once in its batch, first of several, one of the others; and a row with a set's size.
 ALONE, SEVERAL, FOLLOWER, SIZE = 0, 1, 2, 3
 
@@ -101,7 +103,7 @@ class PartEnum:
         value, out = mix(features * _G + np.uint64(5)), []
         for family in self.families(len(features)):
             s = self.scheme(family)
-            for seed in itertools.count():
+            for seed in range(SEEDS):
                 cells = s.n1 * s.n2
                 cell = ((mix(features + np.uint64((seed + 1) * int(_G) & (1 << 64) - 1)) >> np.uint64(32)) % np.uint64(cells)).astype(np.int64)
                 sums = np.zeros(cells, dtype=np.uint64)
@@ -114,6 +116,9 @@ class PartEnum:
                 out.append(mix(total + salts)[used])
                 if (filled.sum(axis=1) <= s.k2).sum() <= s.spare or s.k == 0:
                     break
+            else:
+                prefix = len(features) - -(-self.num * len(features) // self.den) + 1
+                out.append(mix(features[:prefix] + np.uint64((family << 8) + 255)))
         return np.concatenate(out)
 
 
