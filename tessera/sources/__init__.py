@@ -15,8 +15,6 @@ def scan(table: Any) -> LazyFrame:
     return LazyFrame(table)
 
 
-Scan = scan
-
 
 def from_arrow(table: Any) -> LazyFrame:
     return LazyFrame(table)
@@ -51,4 +49,4 @@ def load_tables(folder: str, *names: str) -> dict[str, LazyFrame]:
     return {n: read_parquet(f"{folder}/{n}.parquet") for n in names}
 
 
-__all__ = ["Scan", "from_arrow", "from_pandas", "from_polars", "load_tables", "read_csv", "read_parquet", "scan", "table"]
+__all__ = ["from_arrow", "from_pandas", "from_polars", "load_tables", "read_csv", "read_parquet", "scan", "table"]

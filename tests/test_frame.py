@@ -179,3 +179,10 @@ def test_pushdown(spark):
     plan = ts.read_parquet(f"{DATA}/lineitem.parquet").filter(col("l_quantity") > 49).select("l_orderkey").explain()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,49.0)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_plan_nodes(orders, customers):
+    plan = ts.Limit(ts.Sort(ts.Aggregate(ts.Join(ts.Filter(orders, col("amount") > 5), customers, ["c_key"], ["c_key"]), ["c_name"], [col("amount").sum().alias("s")]), ["s"], [True]), 2)
+    assert got(LazyFrame(plan)) == [{"c_name": "b", "s": 15.0}, {"c_name": "c", "s": 8.0}]
+    assert got(ts.Distinct(ts.Project(ts.Scan(orders), ["c_key"])), "c_key") == [{"c_key": 10}, {"c_key": 20}, {"c_key": 30}]
+    assert got(ts.Tail(ts.Sort(orders, ["o_key"]), 1))[0]["o_key"] == 5
