@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.expr import Expr, col
 from ..session import get_spark
 from .resolve import ORDER, named, needs_order, resolve
+from .spread import lift
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "outer": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
 
@@ -55,6 +56,11 @@ class LazyFrame:
         df = self.df
         if any(map(needs_order, exprs)):
             df = df.withColumn(ORDER, F.monotonically_increasing_id())
+        lifted = []
+        for e in exprs:
+            e, df = lift(e, df)
+            lifted.append(e)
+        exprs = lifted
         return LazyFrame(df.select(*[resolve(e, df).alias(n) for e, n in zip(exprs, names, strict=True)]))
 
     def select(self, *exprs: Any) -> LazyFrame:

@@ -186,3 +186,25 @@ def test_plan_nodes(orders, customers):
     assert got(LazyFrame(plan)) == [{"c_name": "b", "s": 15.0}, {"c_name": "c", "s": 8.0}]
     assert got(ts.Distinct(ts.Project(ts.Scan(orders), ["c_key"])), "c_key") == [{"c_key": 10}, {"c_key": 20}, {"c_key": 30}]
     assert got(ts.Tail(ts.Sort(orders, ["o_key"]), 1))[0]["o_key"] == 5
+
+
+def test_whole_table_windows_are_spread(spark):
+    import random
+
+    rng = random.Random(3)
+    values = [None if rng.random() < 0.1 else float(rng.randint(0, 60)) for _ in range(500)]
+    frame = LazyFrame(spark.createDataFrame([(i, v, str(v)) for i, v in enumerate(values)], "i long, v double, s string").repartition(4))
+    found = frame.select("i", "v", col("v").rank().alias("rank"), row_number().over(order_by=["v", "i"], descending=True).alias("down"), (col("v").cum_sum().over(order_by="i") + 0).alias("run"), row_number().alias("any"), col("s").rank().alias("text"), col("v").dense_rank().alias("dense"))
+    plan = frame.select(col("v").rank().alias("r")).df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan
+    rows = got(found, "i")
+    order = sorted(range(500), key=lambda i: (values[i] is None, values[i]))
+    total = 0.0
+    for r in rows:
+        total += r["v"] or 0.0
+        less = sum(x is not None and (r["v"] is None or x < r["v"]) for x in values)
+        assert r["rank"] == less + 1 and r["run"] == total
+    assert [values[i] for i in order] == [r["v"] for r in sorted(rows, key=lambda r: r["rank"])]
+    down = sorted(rows, key=lambda r: r["down"])
+    assert [r["down"] for r in down] == list(range(1, 501)) and [r["i"] for r in down] == [i for i in sorted(range(500), key=lambda i: (values[i] is None, -(values[i] or 0), -i))]
+    assert sorted(r["any"] for r in rows) == list(range(1, 501)) and {r["dense"] for r in rows} == set(range(1, len(set(values)) + 1))
