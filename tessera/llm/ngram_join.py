@@ -10,10 +10,11 @@ that are similar enough share a signature for certain. Sharing is exact; every
 candidate is then verified on the sets themselves.
 
 Empty subsets would bring unrelated sets together. They are never emitted:
-spare first-level parts make up for the poor ones (with too few filled cells),
-and a set with more poor parts than spare ones also emits signatures under the
-next seed. Two sets meet under the smaller of their last seeds, where one of
-them has no more poor parts than spares. A set that is still poor under the
+spare first-level parts make up for the poor ones (with too few filled cells).
+How many a set can spare follows from its own size, which bounds its difference
+from any similar set more tightly than k does. A set with more poor parts than
+that also emits signatures under the next seed. Two sets meet under the smaller
+of their last seeds, where one of them has enough good parts. A set that is still poor under the
 last seed (a tiny one) adds a signature for each feature of its prefix in hash
 order; two such sets that are similar enough share one of these.
 """
@@ -37,20 +38,19 @@ from .exact_dedup import normalise
 from .tokens import mix, shingle_set, word_hashes
 
 _G = np.uint64(0x9E3779B97F4A7C15)
-SKETCH, SEEDS = 512, 8
+SKETCH, SEEDS = 1024, 8
 #: Kinds of signature rows: met once in its batch, first of several, one of the others; and a row with a set's size.
 ALONE, SEVERAL, FOLLOWER, SIZE = 0, 1, 2, 3
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """The partitions of one family: hamming bound, parts, cells of a part, cells that may differ, spares."""
+    """The partitions of one family: bound on the difference, parts, cells of a part, cells that may differ."""
 
     k: int
     n1: int
     n2: int
     k2: int
-    spare: int
 
 
 class PartEnum:
@@ -77,17 +77,28 @@ class PartEnum:
         high = self._bands[family][1]
         k = (self.den - self.num) * 2 * high // (self.den + self.num)
         if k == 0:
-            return Scheme(0, 1, 1, 0, 0)
+            return Scheme(0, 1, 1, 0)
         k2, n2 = 1, self.cells
-        base = -(-(k + 1) // (k2 + 1))
-        least, spare = max(1, self._bands[max(0, family - 1)][0]), 0
-        while True:
-            empty = math.exp(-least / ((base + spare) * n2))
-            poor = sum(math.comb(n2, f) * (1 - empty) ** f * empty ** (n2 - f) for f in range(k2 + 1))
-            mean = (base + spare) * poor
-            if spare >= mean + 3 * math.sqrt(mean) or spare >= 2 * base:
-                return Scheme(k, base + spare, n2, k2, spare)
+        base, spare = -(-(k + 1) // (k2 + 1)), 0
+        low = self._bands[max(0, family - 1)][0]
+        sizes = sorted({low + (high - low) * i // 8 for i in range(9)})
+
+        def enough(n1: int) -> bool:
+            """Whether sets of all sizes of the family will have few poor parts, by three standard deviations."""
+            for size in sizes:
+                empty = math.exp(-size / (n1 * n2))
+                poor = n1 * sum(math.comb(n2, f) * (1 - empty) ** f * empty ** (n2 - f) for f in range(k2 + 1))
+                if n1 - 1 - self.reach(size, k) // (k2 + 1) < poor + 3 * math.sqrt(poor):
+                    return False
+            return True
+
+        while spare < base and not enough(base + spare):
             spare += 1
+        return Scheme(k, base + spare, n2, k2)
+
+    def reach(self, size: int, k: int) -> int:
+        """The largest symmetric difference that a set of this size can have with any similar one."""
+        return min(k, (self.den - self.num) * size // self.num)
 
     @lru_cache(8192)  # noqa: B019
     def _salts(self, family: int, seed: int) -> tuple[np.ndarray, list[list[int]]]:
@@ -103,6 +114,7 @@ class PartEnum:
         value, out = mix(features * _G + np.uint64(5)), []
         for family in self.families(len(features)):
             s = self.scheme(family)
+            spare = s.n1 - 1 - self.reach(len(features), s.k) // (s.k2 + 1)
             for seed in range(SEEDS):
                 cells = s.n1 * s.n2
                 cell = ((mix(features + np.uint64((seed + 1) * int(_G) & (1 << 64) - 1)) >> np.uint64(32)) % np.uint64(cells)).astype(np.int64)
@@ -114,7 +126,7 @@ class PartEnum:
                 total = np.stack([sums[:, c].sum(axis=1) for c in subsets], axis=1)
                 used = np.stack([filled[:, c].any(axis=1) for c in subsets], axis=1)
                 out.append(mix(total + salts)[used])
-                if (filled.sum(axis=1) <= s.k2).sum() <= s.spare or s.k == 0:
+                if (filled.sum(axis=1) <= s.k2).sum() <= spare:
                     break
             else:
                 prefix = len(features) - -(-self.num * len(features) // self.den) + 1
@@ -185,6 +197,17 @@ def _shared_signatures(classes: DataFrame, scheme: PartEnum, n: int) -> DataFram
     return stored(counted.where((F.col("kind") != ALONE) | (F.col("_c") > 1)).select("sig", "id", "h", "n"), "signatures")
 
 
+def _memberships(members: DataFrame) -> DataFrame:
+    """(sig, id, w): one signature for each distinct set of members, weighted by how many there are.
+
+    Near copies share many signatures; those with the same members give the same
+    pairs. Member sets are compared by size and two 64-bit exclusive-ors.
+    """
+    print_of = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "id")).alias("y"))
+    kept = print_of.groupBy("c", "x", "y").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("w")).select("sig", "w")
+    return stored(members.join(kept, "sig").select("sig", "id", "w"), "members")
+
+
 def _similar(num: int, den: int, na: Column, nb: Column, a: Column, b: Column) -> Column:
     """What sizes and sketches allow: false only for pairs below the threshold."""
     apart = F.lit(0)
@@ -214,9 +237,9 @@ class _Verifier:
     def slim(self, x: str) -> DataFrame:
         return self.sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
+    def likely(self, pairs: DataFrame, *more: str) -> DataFrame:
         c = F.col
-        return pairs.join(self.slim("a"), "a").join(self.slim("b"), "b").where(_similar(self.num, self.den, c("na"), c("nb"), c("sa"), c("sb"))).select("a", "b")
+        return pairs.join(self.slim("a"), "a").join(self.slim("b"), "b").where(_similar(self.num, self.den, c("na"), c("nb"), c("sa"), c("sb"))).select("a", "b", *more)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose sets are similar enough."""
@@ -226,15 +249,16 @@ class _Verifier:
         return both.where(shared * (self.den + self.num) >= (F.size("fa") + F.size("fb")) * self.num).select("a", "b")
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, rounds: int = 4, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, rounds: int = 4, partners: int = 8, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id.
 
     Documents link if the Jaccard similarity of their sets of distinct n-word
     shingles is at least num / den; component_id is the smallest id reachable.
 
     Texts with equal words are one class, which stands for all its copies. In
-    each of a few rounds every class that shares a signature with another
-    component is verified against one partner, which joins most of a large group
+    each of ``rounds`` rounds every class takes the leaders of its signatures in
+    other components, tries the sketches of the ``partners`` it shares most with
+    and is verified against the best of them, which joins most of a large group
     of near copies at the cost of one pair each. A last pass takes all pairs
     that share a signature across components, leaving out those of a
     signature's largest component among themselves, so no link is lost; sizes
@@ -253,7 +277,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     slim = stored(hashed.select("_id", "_h"), "classes")
     classes = hashed.where(F.col("_id").isNotNull()).groupBy("_h").agg(F.min("_id").cast("long").alias("id"), F.first("_t").alias("t")).withColumnRenamed("_h", "h")
     table = _shared_signatures(classes, scheme, n)
-    members = table.where("sig is not null").select("sig", "id", F.col("id").alias("comp"))
+    members = _memberships(table.where("sig is not null").select("sig", "id")).withColumn("comp", F.col("id"))
     check = _Verifier(docs, members.select("id").distinct(), n, num, den, doc_id, text, most_broadcast)
     joined: DataFrame | None = None  # (v, root) over all classes so far
 
@@ -274,7 +298,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             links = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         roots = connected(links)
         joined = follow(joined, roots)
-        relabelled = members.join(roots, F.col("comp") == F.col("v"), "left").select("sig", "id", F.coalesce("root", "comp").alias("comp"))
+        relabelled = members.join(roots, F.col("comp") == F.col("v"), "left").select("sig", "id", "w", F.coalesce("root", "comp").alias("comp"))
         return relabelled, True
 
     def open_signatures(members: DataFrame) -> DataFrame:
@@ -283,9 +307,11 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     for r in range(rounds):
         lead = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("o"), F.col("id").alias("b"), F.col("comp").alias("c"))).alias("lead"))
-        met = members.join(lead, "sig").where(F.col("comp") != F.col("lead.c")).groupBy("id", F.col("lead.b").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-        best = met.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("c", F.xxhash64(F.lit(r), "b").alias("o"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        members, any_found = absorb(check.links(check.likely(best)), members)
+        met = members.join(lead, "sig").where(F.col("comp") != F.col("lead.c")).groupBy(F.col("id").alias("a"), F.col("lead.b").alias("b")).agg(F.sum("w").alias("c"))
+        ranked = met.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), F.xxhash64(F.lit(r), "b"))))
+        near = check.likely(ranked.where(F.col("k") <= partners).select("a", "b", "k"), "k")
+        best = near.groupBy("a").agg(F.min(F.struct("k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        members, any_found = absorb(check.links(best), members)
         if not any_found:
             break
         members = open_signatures(members)
