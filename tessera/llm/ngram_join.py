@@ -39,7 +39,7 @@ from .tokens import mix, shingle_set, word_hashes
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 SKETCH, SEEDS = 1024, 8
-#: Kinds of signature rows: met once in its batch, first of several, one of the others; and a row with a set's size.
+#: Kinds of signature rows: met once in its part of a batch, first of several, one of the others; and a row with a set's size.
 ALONE, SEVERAL, FOLLOWER, SIZE = 0, 1, 2, 3
 
 
@@ -160,11 +160,21 @@ def _shared_signatures(classes: DataFrame, scheme: PartEnum, n: int) -> DataFram
     Rows of one signature in one part of an Arrow batch are combined before the
     exchange: the first stands for the others, which are known to share it and
     need not meet the rest, so they are dealt by their own id.
+
+    What a part sends to one partition is one row with arrays of signatures and
+    ids, in the order of the ids' texts: without a row's frame for each
+    signature and with ids that repeat, the exchange holds little more than the
+    signatures. Windows over the partition's number need no second exchange.
     """
-    names, kinds = ["sig", "id", "kind", "h", "n"], [pa.int64(), pa.int64(), pa.int8(), pa.binary(), pa.int64()]
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names, kinds = ["to", "kind", "sigs", "ids", "h"], [pa.int32(), pa.int8(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    narrow = np.uint16 if 3 * parts < 1 << 16 else np.int64  # short keys are sorted by digits
+
+    def dealt(key: np.ndarray) -> np.ndarray:
+        return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
-    def row(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    def lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,19 +192,32 @@ def _shared_signatures(classes: DataFrame, scheme: PartEnum, n: int) -> DataFram
                     sizes.append(len(features))
                     sigs.append(scheme.signatures(features))
                 every, own = np.concatenate(sigs), np.repeat(ids[at:end], [len(s) for s in sigs])
+                at = end
+                if not len(every):
+                    continue
                 order = np.argsort(every, kind="stable")
-                every, own = every[order], own[order]
-                starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+                ranked = every[order]
+                starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
                 kind = np.full(len(every), FOLLOWER, np.int8)
-                kind[starts] = np.where(np.diff(np.append(starts, len(every))) > 1, SEVERAL, ALONE)
-                yield row(every.view(np.int64), own, kind, pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.int64()))
-                at = end
-            yield row(pa.nulls(len(ids), pa.int64()), ids, np.full(len(ids), SIZE, np.int8), batch.column(1), sizes)
-
-    made = classes.select("id", "h", "t").mapInArrow(run, "sig long, id long, kind byte, h binary, n long")
+                kind[order[starts]] = np.where(np.diff(np.append(starts, len(every))) > 1, SEVERAL, ALONE)
+                key = (dealt(np.where(kind == FOLLOWER, mix(own.view(np.uint64)), every)) * 3 + kind).astype(narrow)
+                order = np.argsort(key, kind="stable")
+                key = key[order].astype(np.int64)
+                starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                cuts = np.append(starts, len(key))
+                columns = [pa.array(key[starts] // 3, pa.int32()), pa.array(key[starts] % 3, pa.int8()), lists(every[order].view(np.int64), cuts), lists(own[order], cuts), pa.nulls(len(starts), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+            one = np.arange(len(ids) + 1)
+            columns = [pa.array(dealt(mix(ids.view(np.uint64))), pa.int32()), pa.array(np.full(len(ids), SIZE, np.int8)), lists(np.array(sizes, np.int64), one), lists(ids, one), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    made = classes.select("id", "h", "t").mapInArrow(run, "to int, kind byte, sigs array<long>, ids array<long>, h binary")
+    rows = made.repartitionById(parts, "to").select("to", "kind", "h", F.inline(F.arrays_zip("sigs", "ids")).alias("sig", "id"))
     salt = F.when(F.col("kind") >= FOLLOWER, F.xxhash64("id")).otherwise(F.lit(0))
-    counted = made.withColumn("_salt", salt).withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("sig", "_salt")))
-    return stored(counted.where((F.col("kind") != ALONE) | (F.col("_c") > 1)).select("sig", "id", "h", "n"), "signatures")
+    counted = rows.withColumn("_salt", salt).withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("sig", "_salt", "to")))
+    is_size = F.col("kind") == SIZE
+    kept = counted.where((F.col("kind") != ALONE) | (F.col("_c") > 1))
+    return stored(kept.select(F.when(~is_size, F.col("sig")).alias("sig"), "id", "h", F.when(is_size, F.col("sig")).alias("n")), "signatures")
 
 
 def _memberships(members: DataFrame) -> DataFrame:
