@@ -265,8 +265,11 @@ class _Verifier:
         return pairs.join(self.slim("a"), "a").join(self.slim("b"), "b").where(_similar(self.num, self.den, c("na"), c("nb"), c("sa"), c("sb"))).select("a", "b", *more)
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose sets are similar enough."""
-        full = lambda x: self.sets.select(F.col("id").alias(x), F.col("f").alias(f"f{x}"))
+        """Those of the pairs whose sets are similar enough; only sets that some pair has are moved."""
+        pairs = stored(pairs, "pairs")  # its size is known before the sets are joined
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        needed = self.sets.select("id", "f").join(ends, "id", "left_semi")
+        full = lambda x: needed.select(F.col("id").alias(x), F.col("f").alias(f"f{x}"))
         both = pairs.join(full("a"), "a").join(full("b"), "b")
         shared = F.size(F.array_intersect("fa", "fb"))
         return both.where(shared * (self.den + self.num) >= (F.size("fa") + F.size("fb")) * self.num).select("a", "b")
@@ -347,7 +350,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     c = F.col
     meet = (c("l.sig") == c("r.sig")) & (c("l.comp") != c("r.comp")) & (c("r.main") | (c("l.id") < c("r.id"))) & _similar(num, den, c("l.ni"), c("r.ni"), c("l.si"), c("r.si"))
     rest = left.join(right, meet).select(c("l.id").alias("a"), c("r.id").alias("b")).distinct()
-    absorb(check.links(stored(rest, "rest")), members)
+    absorb(check.links(rest), members)
 
     sizes = table.where("sig is null").select(c("h").alias("_k"), c("id").alias("_rep"), c("n").alias("_n"))
     out = slim.join(sizes, c("_h") == c("_k"), "left")
