@@ -183,7 +183,7 @@ def _shared_signatures(classes: DataFrame, scheme: PartEnum, n: int) -> DataFram
             while at < len(ids):  # a few MB of text at a time
                 part: list[bytes] = []
                 size, end = 0, at
-                while end < len(ids) and size < 4 << 20:
+                while end < len(ids) and size < 2 << 20:
                     part.append(normalise(texts[end].as_py()))
                     size += len(part[-1])
                     end += 1
