@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import importlib
+import re
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,41 +21,81 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see.
+    """A folder that the driver and all executors see: the one in ``spark.checkpoint.dir``.
 
-    It is the one in ``spark.checkpoint.dir``; only where that is unset (local
-    runs and tests) a temporary folder takes its place.
+    Only a local master may go without that setting (tests, a single machine):
+    a temporary folder takes its place. On a cluster such a folder would be
+    another one on each machine, so there a missing setting is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        if not kept:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-            kept = spark.sparkContext.getCheckpointDir()
-        found = kept
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} shares")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 #: Spark 4.1's switch to drop a query's shuffle files when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _before = threading.Lock(), []
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage in a way that survives lost executors, and gives later
-    joins real sizes to plan by. The table stands for the query from now on, so
-    the query's shuffle files go when it ends and don't pile up over the steps.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+@contextmanager
+def shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """Queries of this session drop their shuffle files while any thread is inside; the last one out restores the setting."""
+    with _lock:
+        _before.append(_before[0] if _before else spark.conf.get(CLEANUP, "false"))
+        spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _lock:
+            value = _before.pop()
+            if not _before:
+                spark.conf.set(CLEANUP, value)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder in any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Workspace:
+    """The intermediate tables of one operator call, in a folder of their own below the shared one.
+
+    A table cuts the lineage in a way that survives lost executors and gives
+    later joins real sizes to plan by. It is deleted as soon as nothing reads it
+    any more: a call ends with ``keep``, which leaves what its result reads.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self._tables: list[tuple[DataFrame, str]] = []
+        self._made = 0
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` and read it back. The table stands for the query, whose shuffle files go when it ends."""
+        self._made += 1
+        path = f"{self.folder}/{self._made}-{label}"
+        with shuffle_files_go(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._tables.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that ``stored`` returned; nothing may read them after that."""
+        for t, path in list(self._tables):
+            if any(t is x for x in tables):
+                delete(self.spark, path)
+                self._tables.remove((t, path))
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        self.drop(*[t for t, _ in self._tables if not any(t is x for x in tables)])
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -98,13 +142,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def gapless(df: DataFrame, group: list[str], order: list[str], spread: str, out: str, rows: int, part_rows: int = 100_000, most_parts: int = 512) -> DataFrame:
+def gapless(df: DataFrame, group: list[str], order: list[str], spread: str, out: str, rows: int, part_rows: int = 100_000, most_parts: int = 1024) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... without putting a group in one task.
 
     ``spread`` is an integer column whose hash deals the rows of a group into
     parts; rows are numbered inside their part by ``order`` and shifted by the
-    exact sizes of the parts before. Only the part sizes, at most
-    ``most_parts`` for each group, are broadcast. One exchange moves the rows.
+    exact sizes of the parts before. ``rows`` is the size of the whole table, so
+    one group may hold all of it: there are enough parts for that, up to
+    ``most_parts``. Only the part sizes, at most ``most_parts`` for each group,
+    are broadcast. One exchange moves the rows.
     """
     parts = max(1, min(most_parts, -(-rows // part_rows)))
     p, off = fresh(df, "_part"), fresh(df, "_off")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, fresh, ship, stored
+from .common import LOWER, UPPER, Workspace, ascii_lower, fresh, ship
 from .tokens import mix
 
 LEAST, MOST, MASK = 1024, 16_384, (1 << 11) - 1
@@ -116,13 +116,15 @@ def recipes(docs: DataFrame, seed: int, doc_id: str = "doc_id", text: str = "tex
     return source.mapInArrow(run, f"doc_id {kind}, recipe binary, text_sha256 string")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 16 << 20, ws: Workspace | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
 
     Texts are equal if identical after lower-casing A-Z. The row with the
     largest id of a group stays. Groups are counted with map-side sums, and only
-    groups of two or more are joined back, on their recipe; AQE splits that join
-    where one group holds many rows.
+    groups of two or more are joined back, on their recipe. They are broadcast up
+    to ``most_broadcast`` bytes of recipes, so rows of a large group don't move
+    at all; above that AQE splits the join where one group holds many rows. The
+    recipes and groups stay in the workspace, as the result reads them.
 
     Edge cases: a null text counts as empty, and empty texts are equal; null ids
     never win against others (in a group with null ids only, keep_id is null and
@@ -132,9 +134,11 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     ship(docs.sparkSession)
     seed = verified_seed(docs, text)
-    slim = stored(recipes(docs, seed, doc_id, text), "recipes")
-    groups = slim.groupBy(F.col("recipe").alias("_r")).agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    out = slim.join(groups, F.col("recipe") == F.col("_r"), "left")
+    ws = ws or Workspace(docs.sparkSession, "exact-dedup")
+    slim = ws.stored(recipes(docs, seed, doc_id, text), "recipes")
+    groups = ws.stored(slim.groupBy(F.col("recipe").alias("_r")).agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "groups")
+    size = groups.agg(F.sum(F.octet_length("_r") + 64)).first()[0] or 0
+    out = slim.join(F.broadcast(groups) if size <= most_broadcast else groups, F.col("recipe") == F.col("_r"), "left")
     keep = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", (F.octet_length("recipe") / 16).cast("int").alias("n_chunks"))
 
@@ -146,15 +150,18 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
     another text are judged apart. The dropped list is broadcast up to
     ``most_broadcast`` rows and joined by a shuffle above that. Rows that repeat
     both id and text become one; only if there are such rows are texts moved
-    for it.
+    for it. For edge cases see ``exact_dedup``; all columns are kept, whatever
+    their names.
     """
-    result = stored(exact_dedup(docs, doc_id, text).select("doc_id", "text_sha256", "kept"), "dedup")
-    gone = result.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    few = gone.count() <= most_broadcast
+    ws = Workspace(docs.sparkSession, "deduplicated")
+    result = ws.stored(exact_dedup(docs, doc_id, text, ws=ws).select("doc_id", "text_sha256", "kept"), "dedup")
+    gone, sha, key = fresh(docs, "_gone"), fresh(docs, "_sha"), fresh(docs, "_digest")
+    dropped = ws.stored(result.where("not kept").select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(sha)).distinct(), "dropped")
+    again = not result.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    ws.keep(dropped)
+    few = dropped.count() <= most_broadcast
     digest = F.sha2(ascii_lower(docs[text]).cast("binary"), 256)
-    left = docs.join(F.broadcast(gone) if few else gone, docs[doc_id].eqNullSafe(F.col("_gone")) & (digest == F.col("_sha")), "left_anti")
-    again = result.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if again.isEmpty():
+    left = docs.join(F.broadcast(dropped) if few else dropped, docs[doc_id].eqNullSafe(dropped[gone]) & (digest == dropped[sha]), "left_anti")
+    if not again:
         return left
-    key = fresh(docs, "_digest")
     return left.withColumn(key, F.sha2(ascii_lower(left[text]).cast("binary"), 256)).dropDuplicates([doc_id, key]).drop(key)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import Workspace, fresh
 
 #: A mean above this is drawn as a sum of equal parts, so that exp(-mean) keeps its digits.
 PART = 8.0
@@ -26,7 +26,7 @@ def uniform(seed: int, *what: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def source_rates(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, budget: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
+def source_rates(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, budget: float = 1.0, source: str = "source", text: str = "text", ws: Workspace | None = None) -> DataFrame:
     """For each source: its bytes and its mean repetition rate.
 
     ``weights`` maps sources to target shares (sources not named get 0); without
@@ -41,7 +41,8 @@ def source_rates(docs: DataFrame, weights: dict | None = None, alpha: float = 0.
         share = F.lit(0.0)
         for k, v in weights.items():
             share = F.when(F.col("_src").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(share)
-    shares = stored(sums.withColumn("_share", share), "mix-sources")
+    ws = ws or Workspace(docs.sparkSession, "mix")
+    shares = ws.stored(sums.withColumn("_share", share), "mix-sources")
     total, wanted = shares.agg(F.sum("_bytes"), F.sum("_share")).first()
     scale = budget * float(total or 0) / wanted if wanted else 0.0
     return shares.select("_src", "_bytes", (F.lit(scale) * F.col("_share") / F.col("_bytes")).alias("_rate"))
@@ -67,24 +68,27 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7
     no rows. The rates are broadcast up to ``most_broadcast`` sources; above
     that they are joined under 32 salts.
     """
-    rates = source_rates(docs, weights, alpha, budget, source, text)
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / PART)).cast("int")
-    table = stored(rates.select(F.col("_src").alias("_mix_src"), parts.alias("_mix_parts"), poisson_table(F.col("_rate") / parts).alias("_mix_cdf")), "mix-rates")
+    ws = Workspace(docs.sparkSession, "mix")
+    rates = source_rates(docs, weights, alpha, budget, source, text, ws)
+    src, parts, cdf, salt, own, n, i, key = (fresh(docs, f"_mix_{x}") for x in ("src", "parts", "cdf", "salt", "own", "n", "i", "key"))
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("_rate") / PART)).cast("int")
+    table = ws.stored(rates.select(F.col("_src").alias(src), pieces.alias(parts), poisson_table(F.col("_rate") / pieces).alias(cdf)), "rates")
+    ws.keep(table)
     if table.count() <= most_broadcast:
-        joined = docs.join(F.broadcast(table), docs[source].eqNullSafe(table["_mix_src"]))
+        joined = docs.join(F.broadcast(table), docs[source].eqNullSafe(table[src]))
     else:
-        salted = table.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        left = docs.withColumn("_mix_own", F.pmod(F.xxhash64(F.col(doc_id)), F.lit(32)))
-        joined = left.join(salted, left[source].eqNullSafe(salted["_mix_src"]) & (left["_mix_own"] == salted["_mix_salt"])).drop("_mix_salt", "_mix_own")
+        salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(31))))
+        left = docs.withColumn(own, F.pmod(F.xxhash64(F.col(doc_id)), F.lit(32)))
+        joined = left.join(salted, left[source].eqNullSafe(salted[src]) & (left[own] == salted[salt])).drop(salt, own)
 
     def drawn(part: Column) -> Column:
         u = uniform(seed, F.col(doc_id), part)
-        return F.size(F.filter("_mix_cdf", lambda c: c <= u))
-
-    n = F.aggregate(F.sequence(F.lit(1), F.col("_mix_parts")), F.lit(0), lambda a, part: a + drawn(part))
-    counted = joined.withColumn("_mix_n", n).where("_mix_n > 0")
-    copies = counted.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
-    keyed = copies.withColumn("_mix_key", uniform(seed + 1, F.col(doc_id), F.col("_mix_i")))
-    shuffled = keyed.repartition(F.col("_mix_key")).sortWithinPartitions("_mix_key")
-    added = [F.col("_mix_i").alias(fresh(docs, "mix_copy")), F.col("_mix_n").alias(fresh(docs, "mix_copies")), F.col("_mix_key").alias(fresh(docs, "mix_key"))] if extras else []
+        return F.size(F.filter(cdf, lambda c: c <= u))
+
+    total = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda a, part: a + drawn(part))
+    counted = joined.withColumn(n, total).where(F.col(n) > 0)
+    copies = counted.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n))))
+    keyed = copies.withColumn(key, uniform(seed + 1, F.col(doc_id), F.col(i)))
+    shuffled = keyed.repartition(F.col(key)).sortWithinPartitions(key)
+    added = [F.col(x).alias(fresh(docs, name)) for x, name in ((i, "mix_copy"), (n, "mix_copies"), (key, "mix_key"))] if extras else []
     return shuffled.select(*[docs[c] for c in docs.columns], *added)

@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import Workspace, fresh, ship
 from .exact_dedup import normalise
 from .tokens import mix, shingle_set, word_hashes
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 SKETCH, SEEDS = 1024, 8
-#: Kinds of signature rows: met once in its part of a batch, first of several, one of the others; and a row with a set's size.
+#: Kinds of signature rows: met once in its part of a batch, first of several, one of the others; and a row with a set's size and sketch.
 ALONE, SEVERAL, FOLLOWER, SIZE = 0, 1, 2, 3
 
 
@@ -134,12 +134,24 @@ class PartEnum:
         return np.concatenate(out)
 
 
-def sketch(features: np.ndarray) -> np.ndarray:
-    """Parities of ``SKETCH`` cells as longs: sets that differ in d features have sketches that differ in d bits at most."""
-    odd = np.bincount((mix(features + np.uint64(99)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+def _parities(hashes: np.ndarray, width: int) -> np.ndarray:
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def sketch(features: np.ndarray) -> np.ndarray:
+    """Parities of ``SKETCH`` cells as longs: sets that differ in d features have sketches that differ in d bits at most.
+
+    A set of more than ``SKETCH`` features adds the parities of twice as many
+    cells as it has features, rounded up to a power of two.
+    """
+    hashes = mix(features + np.uint64(99))
+    base = _parities(hashes, SKETCH)
+    if len(features) <= SKETCH:
+        return base
+    return np.concatenate([base, _parities(hashes, 1 << (2 * len(features) - 1).bit_length())])
+
+
 def _sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return [shingle_set(w, n) for w in word_hashes(texts)]
 
@@ -151,11 +163,31 @@ def text_classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([xxhash.xxh3_128_digest(b" ".join(normalise(t.as_py()).split())) for t in texts], pa.binary())
 
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).withColumn("_h", run("_t"))
+    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t")).withColumn("_h", run("_t"))
+
 
+def _representatives(hashed: DataFrame, slim: DataFrame, ws: Workspace, most_broadcast: int) -> tuple[DataFrame, bool]:
+    """One row (id, h, t) for each class: the one with its smallest id; and whether an id and text are repeated.
+
+    Only ids and hashes are grouped. The rows that go are the few that are not
+    their class's first; they are broadcast up to ``most_broadcast`` and texts
+    are moved only above that, or if an id and its text are repeated.
+    """
+    several = slim.groupBy(F.col("_h").alias("_k")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    grouped = slim.join(several, F.col("_h") == F.col("_k"))
+    copies = ws.stored(grouped.where(~F.col("_id").eqNullSafe(F.col("_first"))).select(F.col("_id").alias("_i"), "_k").distinct(), "copies")
+    repeated = not grouped.where(F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_k").count().where("count > 1").isEmpty()
+    few = copies.count() <= most_broadcast
+    left = hashed.join(F.broadcast(copies) if few else copies, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_k")), "left_anti")
+    if repeated:
+        left = left.dropDuplicates(["_id", "_h"])
+    return left.select(F.col("_id").alias("id"), F.col("_h").alias("h"), F.col("_t").alias("t")), repeated
 
-def _shared_signatures(classes: DataFrame, scheme: PartEnum, n: int) -> DataFrame:
-    """(sig, id) for signatures of two texts or more; with a null sig (id, h, n): the size of each class's set.
+
+def _signed(classes: DataFrame, scheme: PartEnum, n: int) -> DataFrame:
+    """(sig, id) for signatures of two texts or more; with a null sig (id, h, n, s): the size and sketch of each class's set.
+
+    ``classes`` has id, h and t (text); a class without an id has a size only.
 
     Rows of one signature in one part of an Arrow batch are combined before the
     exchange: the first stands for the others, which are known to share it and
@@ -167,7 +199,7 @@ def _shared_signatures(classes: DataFrame, scheme: PartEnum, n: int) -> DataFram
     signatures. Windows over the partition's number need no second exchange.
     """
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names, kinds = ["to", "kind", "sigs", "ids", "h"], [pa.int32(), pa.int8(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    names = ["to", "kind", "sigs", "ids", "h", "s"]
     narrow = np.uint16 if 3 * parts < 1 << 16 else np.int64  # short keys are sorted by digits
 
     def dealt(key: np.ndarray) -> np.ndarray:
@@ -178,8 +210,9 @@ def _shared_signatures(classes: DataFrame, scheme: PartEnum, n: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts, sizes, at = batch.column(2), [], 0
+            nameless = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts, sizes, sketches, at = batch.column(2), [], [], 0
             while at < len(ids):  # a few MB of text at a time
                 part: list[bytes] = []
                 size, end = 0, at
@@ -188,9 +221,10 @@ def _shared_signatures(classes: DataFrame, scheme: PartEnum, n: int) -> DataFram
                     size += len(part[-1])
                     end += 1
                 sigs = []
-                for features in _sets(part, n):
+                for i, features in enumerate(_sets(part, n), at):
                     sizes.append(len(features))
-                    sigs.append(scheme.signatures(features))
+                    sketches.append(sketch(features))
+                    sigs.append(scheme.signatures(features[:0] if nameless[i] else features))
                 every, own = np.concatenate(sigs), np.repeat(ids[at:end], [len(s) for s in sigs])
                 at = end
                 if not len(every):
@@ -205,19 +239,19 @@ def _shared_signatures(classes: DataFrame, scheme: PartEnum, n: int) -> DataFram
                 key = key[order].astype(np.int64)
                 starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 cuts = np.append(starts, len(key))
-                columns = [pa.array(key[starts] // 3, pa.int32()), pa.array(key[starts] % 3, pa.int8()), lists(every[order].view(np.int64), cuts), lists(own[order], cuts), pa.nulls(len(starts), pa.binary())]
+                columns = [pa.array(key[starts] // 3, pa.int32()), pa.array(key[starts] % 3, pa.int8()), lists(every[order].view(np.int64), cuts), lists(own[order], cuts), pa.nulls(len(starts), pa.binary()), pa.nulls(len(starts), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names)
             one = np.arange(len(ids) + 1)
-            columns = [pa.array(dealt(mix(ids.view(np.uint64))), pa.int32()), pa.array(np.full(len(ids), SIZE, np.int8)), lists(np.array(sizes, np.int64), one), lists(ids, one), batch.column(1)]
+            columns = [pa.array(dealt(mix(ids.view(np.uint64))), pa.int32()), pa.array(np.full(len(ids), SIZE, np.int8)), lists(np.array(sizes, np.int64), one), pa.ListArray.from_arrays(pa.array(one, pa.int32()), batch.column(0)), batch.column(1), pa.array(sketches, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    made = classes.select("id", "h", "t").mapInArrow(run, "to int, kind byte, sigs array<long>, ids array<long>, h binary")
-    rows = made.repartitionById(parts, "to").select("to", "kind", "h", F.inline(F.arrays_zip("sigs", "ids")).alias("sig", "id"))
+    made = classes.select("id", "h", "t").mapInArrow(run, "to int, kind byte, sigs array<long>, ids array<long>, h binary, s array<long>")
+    rows = made.repartitionById(parts, "to").select("to", "kind", "h", "s", F.inline(F.arrays_zip("sigs", "ids")).alias("sig", "id"))
     salt = F.when(F.col("kind") >= FOLLOWER, F.xxhash64("id")).otherwise(F.lit(0))
     counted = rows.withColumn("_salt", salt).withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("sig", "_salt", "to")))
     is_size = F.col("kind") == SIZE
     kept = counted.where((F.col("kind") != ALONE) | (F.col("_c") > 1))
-    return stored(kept.select(F.when(~is_size, F.col("sig")).alias("sig"), "id", "h", F.when(is_size, F.col("sig")).alias("n")), "signatures")
+    return kept.select(F.when(~is_size, F.col("sig")).alias("sig"), "id", "h", F.when(is_size, F.col("sig")).alias("n"), "s")
 
 
 def _memberships(members: DataFrame) -> DataFrame:
@@ -228,149 +262,192 @@ def _memberships(members: DataFrame) -> DataFrame:
     """
     print_of = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "id")).alias("y"))
     kept = print_of.groupBy("c", "x", "y").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("w")).select("sig", "w")
-    return stored(members.join(kept, "sig").select("sig", "id", "w"), "members")
+    return members.join(kept, "sig").select("sig", "id", "w")
 
 
-def _similar(num: int, den: int, na: Column, nb: Column, a: Column, b: Column) -> Column:
-    """What sizes and sketches allow: false only for pairs below the threshold."""
-    apart = F.lit(0)
-    for i in range(SKETCH // 64):
+def _similar(num: int, den: int, na: Column, nb: Column, a: Column, b: Column, whole: bool = True) -> Column:
+    """What sizes and sketches (only their first ``SKETCH`` bits unless ``whole``) allow: false only for pairs below the threshold.
+
+    Of two wide sketches the longer one is folded to the other's width: sizes so
+    near differ by a factor of two at most.
+    """
+    base, apart = SKETCH // 64, F.lit(0)
+    for i in range(base):
         apart = apart + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart * (den + num) <= (na + nb) * (den - num))
+    within = lambda d: d * (den + num) <= (na + nb) * (den - num)
+    first = (F.least(na, nb) * den >= F.greatest(na, nb) * num) & within(apart)
+    if not whole:
+        return first
+    wide = F.least(F.size(a), F.size(b)) - base
 
+    def at(x: Column, i: Column) -> Column:
+        folded = F.get(x, i + base).bitwiseXOR(F.get(x, i + wide + base))
+        return F.when(F.size(x) - base > wide, folded).otherwise(F.get(x, i + base))
 
-class _Verifier:
-    """The sets of the candidates, and exact checks of pairs (a, b) on them."""
+    def far(i: Column) -> Column:
+        return F.bit_count(at(a, i).bitwiseXOR(at(b, i)))
 
-    def __init__(self, docs: DataFrame, ids: DataFrame, n: int, num: int, den: int, doc_id: str, text: str, most_broadcast: int):
-        self.num, self.den = num, den
-        ids = stored(ids, "candidates")
-        few = ids.count() <= most_broadcast
-        source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    wider = F.aggregate(F.sequence(F.lit(0), wide - 1), F.lit(0), lambda x, i: x + far(i))
+    return first & F.when(wide > 0, within(wider)).otherwise(F.lit(True))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, len(batch), 512):
-                    part = batch.slice(at, 512)
-                    sets = _sets([normalise(t.as_py()) for t in part.column(1)], n)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], ["id", "n", "f", "s"])
 
-        self.sets = stored(source.mapInArrow(run, "id long, n long, f array<long>, s array<long>"), "sets")
+@dataclass
+class _Verifier:
+    """Checks of pairs (a, b): by size and sketch, then exactly on the sets themselves.
+
+    ``sketches`` has id, n and s of the candidates. Sets are made from the texts
+    of those pairs only that the sketches let through.
+    """
+
+    docs: DataFrame
+    sketches: DataFrame
+    ws: Workspace
+    n: int
+    num: int
+    den: int
+    repeated: bool
+    most_broadcast: int
 
     def slim(self, x: str) -> DataFrame:
-        return self.sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+        return self.sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
 
     def likely(self, pairs: DataFrame, *more: str) -> DataFrame:
         c = F.col
         return pairs.join(self.slim("a"), "a").join(self.slim("b"), "b").where(_similar(self.num, self.den, c("na"), c("nb"), c("sa"), c("sb"))).select("a", "b", *more)
 
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """(id, f): the sets of the texts with these ids, which are broadcast up to ``most_broadcast``."""
+        few, n = ids.count() <= self.most_broadcast, self.n
+        source = self.docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        if self.repeated:
+            source = source.dropDuplicates(["id", "t"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), 512):
+                    part = batch.slice(at, 512)
+                    sets = _sets([normalise(t.as_py()) for t in part.column(1)], n)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "f"])
+
+        return source.select("id", "t").mapInArrow(run, "id long, f array<long>")
+
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose sets are similar enough; only sets that some pair has are moved."""
-        pairs = stored(pairs, "pairs")  # its size is known before the sets are joined
+        """Those of the pairs, a stored table, whose sets are similar enough, as a stored table."""
         ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        needed = self.sets.select("id", "f").join(ends, "id", "left_semi")
-        full = lambda x: needed.select(F.col("id").alias(x), F.col("f").alias(f"f{x}"))
-        both = pairs.join(full("a"), "a").join(full("b"), "b")
+        sets = self.ws.stored(self.sets_of(ends), "sets")
+        near = F.broadcast(pairs) if pairs.count() <= self.most_broadcast else pairs
+        side = lambda x: sets.join(near, F.col("id") == F.col(x)).select("a", "b", F.col("f").alias(f"f{x}"))
         shared = F.size(F.array_intersect("fa", "fb"))
-        return both.where(shared * (self.den + self.num) >= (F.size("fa") + F.size("fb")) * self.num).select("a", "b")
+        both = side("a").join(side("b"), ["a", "b"])
+        found = self.ws.stored(both.where(shared * (self.den + self.num) >= (F.size("fa") + F.size("fb")) * self.num).select("a", "b").distinct(), "links")
+        self.ws.drop(sets)
+        return found
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, rounds: int = 4, partners: int = 8, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, rounds: int = 4, partners: int = 8, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000, ws: Workspace | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id.
 
     Documents link if the Jaccard similarity of their sets of distinct n-word
     shingles is at least num / den; component_id is the smallest id reachable.
 
     Texts with equal words are one class, which stands for all its copies. In
-    each of ``rounds`` rounds every class takes the leaders of its signatures in
+    each of at most ``rounds`` rounds every class takes the leaders of its signatures in
     other components, tries the sketches of the ``partners`` it shares most with
     and is verified against the best of them, which joins most of a large group
-    of near copies at the cost of one pair each. A last pass takes all pairs
+    of near copies at the cost of one pair each; rounds end when fewer than a
+    tenth of the pairs tried are links. A last pass takes all pairs
     that share a signature across components, leaving out those of a
     signature's largest component among themselves, so no link is lost; sizes
     and parity sketches, which never rule out a true link, are tested inside
     the join before a pair is made.
 
+    Texts are read where they lie: they move only if more than
+    ``most_broadcast`` ids are looked up, or if an id and its text are repeated.
+    The result is a table in the workspace; all others are gone by then.
+
     Edge cases: a text without words has an empty set, links with nothing and is
     its own component; with fewer than n words the whole sequence is the one
-    shingle; a row with a null id is not linked and has a null component_id;
+    shingle; a row with a null id has its set's size, is not linked and has a null component_id;
     rows that repeat an id are one vertex, linked through any of their texts; an
     empty table gives no rows; other columns are ignored. Ids are integers.
     """
-    ship(docs.sparkSession)
+    spark, c = docs.sparkSession, F.col
+    ship(spark)
+    ws = ws or Workspace(spark, "ngram-join")
     scheme = PartEnum(num, den, cells)
     hashed = text_classes(docs, doc_id, text)
-    slim = stored(hashed.select("_id", "_h"), "classes")
-    classes = hashed.where(F.col("_id").isNotNull()).groupBy("_h").agg(F.min("_id").cast("long").alias("id"), F.first("_t").alias("t")).withColumnRenamed("_h", "h")
-    table = _shared_signatures(classes, scheme, n)
-    members = _memberships(table.where("sig is not null").select("sig", "id")).withColumn("comp", F.col("id"))
-    check = _Verifier(docs, members.select("id").distinct(), n, num, den, doc_id, text, most_broadcast)
+    slim = ws.stored(hashed.select("_id", "_h"), "classes")
+    firsts, repeated = _representatives(hashed, slim, ws, most_broadcast)
+    table = ws.stored(_signed(firsts, scheme, n), "signatures")
+    sizes = ws.stored(table.where("sig is null").select("h", "id", "n", "s"), "sizes")
+    members = ws.stored(_memberships(table.where("sig is not null").select("sig", "id")), "members")
+    sketches = ws.stored(sizes.select("id", "n", "s").join(members.select("id").distinct(), "id", "left_semi"), "sketches")
+    ws.keep(slim, sizes, members, sketches)
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+    check = _Verifier(texts, sketches, ws, n, num, den, repeated, most_broadcast)
     joined: DataFrame | None = None  # (v, root) over all classes so far
+    given, members = members, members.withColumn("comp", F.col("id"))
 
-    def follow(old: DataFrame | None, new: DataFrame) -> DataFrame:
-        if old is None:
-            return new
-        moved = old.join(new.select(F.col("v").alias("_v"), F.col("root").alias("_r")), F.col("root") == F.col("_v"), "left").select("v", F.coalesce("_r", "root").alias("root"))
-        return stored(moved.unionByName(new.join(old.select("v"), "v", "left_anti")), "roots")
-
-    def absorb(links: DataFrame, members: DataFrame) -> tuple[DataFrame, bool]:
-        """Joins components by links (a, b) between ids; members keep only signatures with several components."""
+    def absorb(links: DataFrame) -> DataFrame:
+        """Joins components by links (a, b) between ids, into ``joined``; returns (v, root) of the components that changed."""
         nonlocal joined
-        links = stored(links, "links")
-        if links.isEmpty():
-            return members, False
-        if joined is not None:
-            to = lambda x: joined.select(F.col("v").alias(x), F.col("root").alias(f"r{x}"))
-            links = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        roots = connected(links)
-        joined = follow(joined, roots)
-        relabelled = members.join(roots, F.col("comp") == F.col("v"), "left").select("sig", "id", "w", F.coalesce("root", "comp").alias("comp"))
-        return relabelled, True
-
-    def open_signatures(members: DataFrame) -> DataFrame:
-        mixed = members.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("sig")
-        return stored(members.join(mixed, "sig", "left_semi"), "members")
+        if joined is None:
+            joined = connected(links, ws)
+            return joined
+        to = lambda x: joined.select(c("v").alias(x), c("root").alias(f"r{x}"))
+        roots = connected(links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), ws)
+        old, new = joined, roots.select(c("v").alias("_v"), c("root").alias("_r"))
+        moved = old.join(new, c("root") == c("_v"), "left").select("v", F.coalesce("_r", "root").alias("root"))
+        joined = ws.stored(moved.unionByName(roots.join(old.select("v"), "v", "left_anti")), "roots")
+        return roots
 
     for r in range(rounds):
-        lead = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("o"), F.col("id").alias("b"), F.col("comp").alias("c"))).alias("lead"))
-        met = members.join(lead, "sig").where(F.col("comp") != F.col("lead.c")).groupBy(F.col("id").alias("a"), F.col("lead.b").alias("b")).agg(F.sum("w").alias("c"))
+        lead = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("o"), c("id").alias("b"), c("comp").alias("c"))).alias("lead"))
+        met = members.join(lead, "sig").where(c("comp") != c("lead.c")).groupBy(c("id").alias("a"), c("lead.b").alias("b")).agg(F.sum("w").alias("c"))
         ranked = met.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), F.xxhash64(F.lit(r), "b"))))
-        near = check.likely(ranked.where(F.col("k") <= partners).select("a", "b", "k"), "k")
-        best = near.groupBy("a").agg(F.min(F.struct("k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        members, any_found = absorb(check.links(best), members)
-        if not any_found:
+        near = check.likely(ranked.where(c("k") <= partners).select("a", "b", "k"), "k")
+        best = ws.stored(near.groupBy("a").agg(F.min(F.struct("k", "b")).alias("m")).select("a", c("m.b").alias("b")), "pairs")
+        links = check.links(best)
+        tried, found = best.count(), links.count()
+        if found:
+            roots = absorb(links)
+            relabelled = members.join(roots, c("comp") == c("v"), "left").select("sig", "id", "w", F.coalesce("root", "comp").alias("comp"))
+            mixed = relabelled.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("sig")
+            members = given = ws.stored(relabelled.join(mixed, "sig", "left_semi"), "members")
+            ws.keep(slim, sizes, sketches, members, joined)
+        if found * 10 < tried or not tried:
             break
-        members = open_signatures(members)
-    if rounds == 0 or not any_found:
-        members = open_signatures(members)
+
     share = members.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = share.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("m")).select("sig", F.col("m.comp").alias("big"))
-    rows = members.join(largest, "sig").join(check.slim("i"), F.col("id") == F.col("i")).select("sig", "id", "comp", "ni", "si", (F.col("comp") == F.col("big")).alias("main"))
+    largest = share.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("m")).select("sig", c("m.comp").alias("big"))
+    rows = members.join(largest, "sig").join(check.slim("i"), c("id") == c("i")).select("sig", "id", "comp", "ni", F.slice("si", 1, SKETCH // 64).alias("si"), (c("comp") == c("big")).alias("main"))
     left, right = rows.where("not main").alias("l"), rows.alias("r")
-    c = F.col
-    meet = (c("l.sig") == c("r.sig")) & (c("l.comp") != c("r.comp")) & (c("r.main") | (c("l.id") < c("r.id"))) & _similar(num, den, c("l.ni"), c("r.ni"), c("l.si"), c("r.si"))
-    rest = left.join(right, meet).select(c("l.id").alias("a"), c("r.id").alias("b")).distinct()
-    absorb(check.links(rest), members)
+    meet = (c("l.sig") == c("r.sig")) & (c("l.comp") != c("r.comp")) & (c("r.main") | (c("l.id") < c("r.id"))) & _similar(num, den, c("l.ni"), c("r.ni"), c("l.si"), c("r.si"), whole=False)
+    rest = ws.stored(check.likely(left.join(right, meet).select(c("l.id").alias("a"), c("r.id").alias("b")).distinct()).distinct(), "pairs")
+    ws.drop(given)
+    if not rest.isEmpty() and not (links := check.links(rest)).isEmpty():
+        absorb(links)
 
-    sizes = table.where("sig is null").select(c("h").alias("_k"), c("id").alias("_rep"), c("n").alias("_n"))
-    out = slim.join(sizes, c("_h") == c("_k"), "left")
+    out = slim.join(sizes.select(c("h").alias("_k"), c("id").alias("_rep"), c("n").alias("_n")), c("_h") == c("_k"), "left")
     if joined is not None:
         out = out.join(joined.select(c("v").alias("_v"), c("root").alias("_root")), c("_rep") == c("_v"), "left")
     else:
         out = out.withColumn("_root", F.lit(None).cast("long"))
     own = F.when(c("_id").isNull() | (c("_n") == 0), c("_id")).otherwise(F.coalesce("_root", "_rep"))
-    return out.select(c("_id").alias("doc_id"), c("_n").alias("n_shingles"), own.alias("component_id"))
+    result = ws.stored(out.select(c("_id").alias("doc_id"), c("_n").alias("n_shingles"), own.alias("component_id")), "components")
+    ws.keep(result)
+    return result
 
 
-def connected(edges: DataFrame, label: str = "links") -> DataFrame:
+def connected(edges: DataFrame, ws: Workspace) -> DataFrame:
     """(v, root) for each vertex of the edges (a, b): root is the smallest vertex reachable.
 
     Alternates the large-star and small-star steps until neither changes the
     edges. Each step sends a vertex's neighbours to the smallest one, which is
     found by a map-side minimum and joined back, so no neighbourhood is gathered
-    in one task; each round is written to the shared folder.
+    in one task; each round is a table, and the one before goes.
     """
-    now = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), label)
+    now = ws.stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -379,20 +456,26 @@ def connected(edges: DataFrame, label: str = "links") -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("_m")).select(F.col("b").alias("_b"), "_m")
         joined = large.join(least, F.col("b") == F.col("_b"))
         small = joined.select(F.col("_m").alias("_x"), F.col("a").alias("_y")).unionByName(joined.select(F.col("_m").alias("_x"), F.col("b").alias("_y")))
-        now = stored(small.where("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct(), label)
+        before, now = now, ws.stored(small.where("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct(), "edges")
+        ws.drop(before)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(new) == mark:
-            return now.select(F.col("b").alias("v"), F.col("a").alias("root"))
+            roots = ws.stored(now.select(F.col("b").alias("v"), F.col("a").alias("root")), "roots")
+            ws.drop(now)
+            return roots
         mark = tuple(new)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000) -> DataFrame:
     """The rows of ``docs`` with one document of each component, the one with the smallest id.
 
-    Rows with a null id stay. The dropped ids are broadcast up to
+    Rows with a null id stay; for other edge cases see ``ngram_components``. All
+    columns are kept, whatever their names. The dropped ids are broadcast up to
     ``most_broadcast`` and joined by a shuffle above that.
     """
-    found = ngram_components(docs, n, num, den, cells, doc_id=doc_id, text=text)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near")
-    few = gone.count() <= most_broadcast
-    return docs.join(F.broadcast(gone) if few else gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    ws = Workspace(docs.sparkSession, "one-of-each")
+    found, gone = ngram_components(docs, n, num, den, cells, doc_id=doc_id, text=text, most_broadcast=most_broadcast, ws=ws), fresh(docs, "_gone")
+    dropped = ws.stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "near")
+    ws.keep(dropped)
+    few = dropped.count() <= most_broadcast
+    return docs.join(F.broadcast(dropped) if few else dropped, docs[doc_id] == dropped[gone], "left_anti")

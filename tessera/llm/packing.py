@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, gapless, stored
+from .common import BLANKS, Workspace, gapless
 
 
 def word_count(text: Column) -> Column:
@@ -70,7 +70,7 @@ def pack_lengths(docs: DataFrame, buckets: int = 16, max_len: int = 4096, token_
     cut = F.greatest(F.lit(0), F.floor((F.col("_n") - 1) / max_len)).cast("int")
     pieces = slim.select("doc_id", "_n", F.explode(F.sequence(F.lit(0), cut)).alias("piece"))
     start = F.col("piece").cast("long") * max_len
-    pieces = stored(pieces.select("doc_id", "piece", start.alias("start"), F.least(F.lit(max_len).cast("long"), F.col("_n") - start).alias("length"), F.xxhash64(F.lit(23), "doc_id", "piece").alias("_h")), "pack-lengths")
+    pieces = Workspace(docs.sparkSession, "pack").stored(pieces.select("doc_id", "piece", start.alias("start"), F.least(F.lit(max_len).cast("long"), F.col("_n") - start).alias("length"), F.xxhash64(F.lit(23), "doc_id", "piece").alias("_h")), "lengths")
     histogram = sorted((r["length"], r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())
     bounds = optimal_boundaries([x for x, _ in histogram], [n for _, n in histogram], buckets)
     bucket, bound = F.lit(None).cast("int"), F.lit(None).cast("long")
@@ -78,7 +78,7 @@ def pack_lengths(docs: DataFrame, buckets: int = 16, max_len: int = 4096, token_
         bucket = F.when(F.col("length") <= b, F.lit(i)).otherwise(bucket)
         bound = F.when(F.col("length") <= b, F.lit(b).cast("long")).otherwise(bound)
     placed = pieces.withColumn("bucket", bucket).withColumn("bucket_len", bound)
-    ranked = gapless(placed, ["bucket"], ["_h", "doc_id", "piece"], "_h", "_i", sum(n for _, n in histogram) // max(1, len(bounds)))
+    ranked = gapless(placed, ["bucket"], ["_h", "doc_id", "piece"], "_h", "_i", sum(n for _, n in histogram))
     rows = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.lit(1), F.col("bucket_len")))).cast("long")
     batched = ranked.withColumn("_rows", rows)
     return batched.select("doc_id", "piece", "start", "length", "bucket", "bucket_len", F.expr("_i div _rows").alias("batch"), (F.col("_i") % F.col("_rows")).cast("int").alias("place"), (F.col("bucket_len") - F.col("length")).alias("padding"))

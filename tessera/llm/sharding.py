@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, stored
+from .common import Workspace, fresh, gapless
 
 TOP = (1 << 63) - 1
 
@@ -32,12 +32,13 @@ def text_size(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long") + 1
 
 
-def find_splitters(slim: DataFrame, shards: int, tolerance: float = 0.005, probes: int = 64) -> tuple[list[tuple[int, int]], int]:
+def find_splitters(slim: DataFrame, shards: int, tolerance: float = 0.005, probes: int = 64, copies: str = "cut") -> tuple[list[tuple[int, int]], int]:
     """Boundaries (text key, row key) of the shards over ``slim`` (k, r, size), and the number of rows.
 
     A row belongs to the first shard whose boundary is above it. Each boundary
     is within ``tolerance`` times the mean shard's bytes of its target, or is
-    the nearest one between two rows. Only bucket counts reach the driver, at
+    the nearest one between two rows (between two texts if ``copies`` is
+    ``whole``). Only bucket counts reach the driver, at
     most ``probes`` for each open splitter.
     """
     total, rows = slim.agg(F.sum("size"), F.count(F.lit(1))).first()
@@ -76,9 +77,9 @@ def find_splitters(slim: DataFrame, shards: int, tolerance: float = 0.005, probe
                     done[j] = at(last + 1)
                 elif first < last:
                     seek[j] = (cut, first, last, below)
-                elif cut is None:
+                elif cut is None and copies == "cut":
                     seek[j] = (first, 0, TOP, below)
-                else:  # one row, or rows with one id: the nearer side
+                else:  # one text, one row, or rows with one id: the nearer side
                     done[j] = at(first) if goal - below <= below + size - goal else at(last + 1)
                 break
             else:
@@ -96,11 +97,24 @@ def shard_of(splitters: list[tuple[int, int]], k: Column, r: Column) -> Column:
     return out
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with its shard: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+def cut_keys(slim: DataFrame, splitters: list[tuple[int, int]]) -> list[int]:
+    """The text keys of which some rows lie below a boundary and others above it: fewer than there are shards."""
+    inside = sorted({(a, b) for a, b in splitters if 0 < b and a <= TOP})
+    if not inside:
+        return []
+    spans = {r["k"]: (r["lo"], r["hi"]) for r in slim.where(F.col("k").isin(sorted({a for a, _ in inside}))).groupBy("k").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
+    return sorted({a for a, b in inside if a in spans and spans[a][0] < b <= spans[a][1]})
+
+
+def assign_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, copies: str = "cut", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row of ``docs`` with its shard: doc_id, size, text_crc32, law, shard, slot, grown_shard, group_cut.
 
     The law is ``bytes``: the shards' sizes are near equal. ``slot`` numbers the
     rows of a shard from 0 without gaps; ``grown_shard`` is null under this law.
+    Equal texts lie side by side. ``copies`` tells what happens to a group of
+    them that is too large for the tolerance: ``cut`` divides it by rows, so the
+    law holds whatever the groups; ``whole`` never divides one, so a shard may be
+    larger by a group. ``group_cut`` marks the rows of texts that were divided.
     The rows move in one exchange, by (shard, part of the shard), so neither a
     shard nor a group of copies has to fit one task.
 
@@ -109,22 +123,34 @@ def assign_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, do
     apart and stay together; an empty table gives no rows; other columns are
     ignored.
     """
+    if copies not in ("cut", "whole"):
+        raise ValueError(f"copies must be cut or whole, not {copies!r}")
     t = F.col(text)
     keyed = docs.select(
         F.col(doc_id).alias("doc_id"), text_size(t).alias("size"),
         F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"),
         text_key(t).alias("k"), row_key(F.col(doc_id)).alias("r"),
     )
-    slim = stored(keyed, "shard-keys")
-    splitters, rows = find_splitters(slim.select("k", "r", "size"), shards, tolerance)
-    placed = slim.withColumn("shard", shard_of(splitters, F.col("k"), F.col("r")))
-    slotted = gapless(placed, ["shard"], ["k", "r", "text_crc32"], "r", "slot", rows // max(1, shards))
-    return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 8, tolerance: float = 0.005, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write ``docs`` as Parquet below ``path``, one ``shard=N`` folder for each shard."""
-    keyed = docs.select(text_size(F.col(text)).alias("size"), text_key(F.col(text)).alias("k"), row_key(F.col(doc_id)).alias("r"))
-    splitters, _ = find_splitters(stored(keyed, "shard-keys"), shards, tolerance)
-    named = docs.withColumn("shard", shard_of(splitters, text_key(F.col(text)), row_key(F.col(doc_id))))
-    named.repartition(F.col("shard"), F.pmod(row_key(F.col(doc_id)), F.lit(64))).write.partitionBy("shard").parquet(path)
+    slim = Workspace(docs.sparkSession, "shards").stored(keyed, "keys")
+    splitters, rows = find_splitters(slim.select("k", "r", "size"), shards, tolerance, copies=copies)
+    cut = cut_keys(slim, splitters)
+    placed = slim.withColumn("shard", shard_of(splitters, F.col("k"), F.col("r"))).withColumn("group_cut", F.col("k").isin(cut) if cut else F.lit(False))
+    slotted = gapless(placed, ["shard"], ["k", "r", "text_crc32"], "r", "slot", rows)
+    return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_cut")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8, tolerance: float = 0.005, copies: str = "cut", doc_id: str = "doc_id", text: str = "text") -> str:
+    """Write ``docs`` as Parquet below ``path``, one folder for each shard; returns the folders' column.
+
+    That column is ``shard``, with underscores added if ``docs`` has the name
+    already, so all columns are kept.
+
+    Edge cases: as in ``assign_shards``; an empty table writes no shard.
+    """
+    ws, name, deal = Workspace(docs.sparkSession, "shards"), fresh(docs, "shard"), fresh(docs, "_deal")
+    k, r = text_key(F.col(text)), row_key(F.col(doc_id))
+    splitters, _ = find_splitters(ws.stored(docs.select(text_size(F.col(text)).alias("size"), k.alias("k"), r.alias("r")), "keys"), shards, tolerance, copies=copies)
+    ws.keep()
+    dealt = docs.withColumns({name: shard_of(splitters, k, r), deal: F.pmod(r, F.lit(64))})
+    dealt.repartition(F.col(name), F.col(deal)).drop(deal).write.partitionBy(name).parquet(path)
+    return name

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship, stored
+from .common import Workspace, ship
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -33,11 +33,18 @@ NAMESPACE = uuid.UUID("6f0c2f7e-7f7a-4a55-9a35-5d1f7ad0c3a1")
 FRAME_BYTES, BUNDLE_BYTES, FRAMES_A_TASK = 1 << 18, 1 << 28, 64
 
 
+#: Schemes of Hadoop's connectors and the names that Arrow has for the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "abfss": "abfss", "file": "file", "s3": "s3"}
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a URI or a plain path."""
+    """The file system and path of a URI or a plain path; a scheme that Arrow can't write is an error that names it."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
-    return pafs.FileSystem.from_uri(uri)
+    scheme, found, rest = uri.partition("://")
+    if found and scheme not in SCHEMES:
+        raise ValueError(f"WARC bundles can't be written to {scheme}://; give a folder= of one of {', '.join(SCHEMES)}")
+    return pafs.FileSystem.from_uri(f"{SCHEMES[scheme]}://{rest}" if found else uri)
 
 
 def digest32(payload: bytes) -> str:
@@ -156,7 +163,7 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0, page_id: str = "page_i
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("_d", F.sha2("payload", 256)).withColumn("_b", F.octet_length("payload"))
-    groups = stored(keyed.groupBy("_d", "_b").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) & (F.col("_b") >= least_bytes)).select("_d", "_b", "_first"), "payloads")
+    groups = Workspace(pages.sparkSession, "payloads").stored(keyed.groupBy("_d", "_b").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) & (F.col("_b") >= least_bytes)).select("_d", "_b", "_first"), "payloads")
     small = groups.count() <= most_broadcast
     joined = keyed.join(F.broadcast(groups) if small else groups, ["_d", "_b"], "left")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
@@ -194,7 +201,7 @@ def write_bundles(marked: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
     given = marked.select(F.col("page_id").cast("long"), "url", "payload", F.col("refers_to").cast("long"), "revisit")
-    return stored(given.mapInArrow(run, "page_id long, bundle string, frame int, offset long, length long"), "warc-index")
+    return Workspace(marked.sparkSession, "warc-index").stored(given.mapInArrow(run, "page_id long, bundle string, frame int, offset long, length long"), "index")
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
@@ -241,6 +248,6 @@ def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, p
     percent-encoded; an empty table writes no bundle; other columns are ignored.
     Ids are integers.
     """
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = folder or Workspace(pages.sparkSession, "warc").folder
     index = write_bundles(mark_revisits(pages, least_bytes, page_id, url, html), folder)
     return index, read_bundles(index)

@@ -2,10 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brute import components, shingles
 from oracle import DATA
 from tessera.llm import ngram_join
+from tessera.llm.common import Workspace
 from tessera.llm.ngram_join import PartEnum
 from tessera.llm.tokens import shingle_set, word_hashes
 
@@ -42,6 +44,16 @@ def test_a_sketch_never_overstates_the_distance():
         assert apart <= 23
 
 
+@pytest.mark.parametrize("sizes", [(900, 60, 70), (1900, 90, 200), (3000, 300, 250), (1000, 20, 200)])
+def test_wide_sketches_let_similar_pairs_pass(spark, sizes):
+    """Pairs over the threshold pass, wherever the two widths differ; unrelated long sets don't."""
+    both, left, right = (features(random.Random(k), n) for k, n in enumerate(sizes))
+    a, b, c = np.concatenate([both, left]), np.concatenate([both, right]), features(random.Random(9), sizes[0])
+    rows = [(len(x), len(y), ngram_join.sketch(x).tolist(), ngram_join.sketch(y).tolist()) for x, y in ((a, b), (b, a), (a, c))]
+    found = spark.createDataFrame(rows, "na long, nb long, sa array<long>, sb array<long>").select(ngram_join._similar(75, 100, *map(F.col, ("na", "nb", "sa", "sb"))).alias("x")).collect()
+    assert [r["x"] for r in found] == [True, True, False]
+
+
 def test_shingle_sizes(given):
     texts = [t for _, t, *_ in given]
     low = [(t or "").encode().lower() if (t or "").isascii() else (t or "").encode() for t in texts]
@@ -55,8 +67,11 @@ def test_edges(edge, given, n, num):
     assert found == sorted(components([(i, t) for i, t, *_ in given if i is not None], n, num, 100))
 
 
-def test_null_ids_and_empty_tables(edge, nothing):
-    assert [tuple(r) for r in ngram_join.ngram_components(edge).where("doc_id is null").select("component_id").distinct().collect()] == [(None,)]
+def test_null_ids_and_empty_tables(edge, nothing, given, spark):
+    found = [(r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(edge).where("doc_id is null").collect()]
+    assert sorted(found) == sorted((len(shingles(t, 5)), None) for i, t, *_ in given if i is None)
+    alone = spark.createDataFrame([(None, "a b c d e f")] * 3 + [(4, "x")] * 2, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.ngram_components(alone).collect()), key=repr) == [(4, 1, 4)] * 2 + [(None, 2, None)] * 3
     assert ngram_join.ngram_components(nothing).count() == 0
     assert ngram_join.one_of_each(nothing).columns == nothing.columns
 
@@ -104,5 +119,5 @@ def test_chains_of_near_copies(spark):
 
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (103, 101), (7, 7)]
-    found = dict(map(tuple, ngram_join.connected(spark.createDataFrame(edges, "a long, b long")).collect()))
+    found = dict(map(tuple, ngram_join.connected(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "test")).collect()))
     assert found == {i: 1 for i in range(2, 61)} | {101: 100, 103: 100}
