@@ -2,8 +2,11 @@
 
 Native: the statistics and the learned rules are DataFrame expressions. The
 list is learned by sequential covering on a bounded sample of labelled rows:
-grow a conjunction of thresholds on two thirds of the sample, prune it on the
-other third, keep it while it is good enough, remove what it covers, repeat.
+for either class grow a conjunction of thresholds on two thirds of the rows
+left and prune it on the other third; append the better of the two rules if it is
+good enough, remove what it covers, repeat. The rows left at the end decide what
+holds where no rule is met. The first rule met decides, so an accepting rule
+shields its rows from all that follow it.
 """
 
 from __future__ import annotations
@@ -30,17 +33,11 @@ FEATURES = {
 }
 
 
-def repeated_window_words(w: Column) -> Column:
-    """Words lying in 3-word windows that occur twice or more, the first one included.
-
-    Windows are compared by 64-bit hash, first as a sorted array of longs. With
-    few repeated windows their positions are looked up directly; with many, the
-    windows are sorted with their positions, so the cost stays n log n.
-    """
+def window_hashes(w: Column) -> Column:
+    """The 64-bit hash of each 3-word window, in order."""
     n = F.size(w)
     at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    return hashes
+    return F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
 
 def _covered(positions: Column) -> Column:
@@ -51,11 +48,15 @@ def _covered(positions: Column) -> Column:
 def text_stats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``BASE`` and the counts that ``FEATURES`` use.
 
-    Null counts as an empty text; an empty text has all counts 0.
+    Null counts as an empty text; an empty text has all counts 0. Words in
+    3-word windows that occur twice or more are found by the windows' hashes,
+    first sorted as longs. With few repeated windows their positions are looked
+    up directly; with many, the windows are sorted with their positions, so the
+    cost stays n log n.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     first = docs.select(*keep, t.alias("_t"), words(F.col(text)).alias("_w"))
-    second = first.select(*keep, "_t", "_w", repeated_window_words(F.col("_w")).alias("_h"))
+    second = first.select(*keep, "_t", "_w", window_hashes(F.col("_w")).alias("_h"))
     third = second.select(*keep, "_t", "_w", "_h", F.sort_array("_h").alias("_s"))
     dups = F.array_distinct(F.filter("_s", lambda x, i: x == F.get(F.col("_s"), i + 1)))
     fourth = third.select(*keep, "_t", "_w", "_h", dups.alias("_d"))
@@ -86,6 +87,20 @@ class Rule:
     tests: tuple[tuple[str, bool, float], ...]
     verdict: bool
 
+    def met(self, row: dict[str, float]) -> bool:
+        return all((row[name] >= cut) == at_least for name, at_least, cut in self.tests)
+
+
+@dataclass(frozen=True)
+class DecisionList:
+    """Ordered rules; ``default`` holds for rows that meet none."""
+
+    rules: tuple[Rule, ...] = ()
+    default: bool = True
+
+    def decide(self, row: dict[str, float]) -> bool:
+        return next((r.verdict for r in self.rules if r.met(row)), self.default)
+
 
 def grow(x: np.ndarray, y: np.ndarray, names: list[str], most_tests: int = 4) -> list[tuple[str, bool, float]]:
     """Add the test with the largest FOIL gain until no row of the other class is left."""
@@ -133,33 +148,42 @@ def prune(x: np.ndarray, y: np.ndarray, names: list[str], tests: list) -> list:
     return tests[:best]
 
 
-def learn_decision_list(x: np.ndarray, good: np.ndarray, names: list[str], most_rules: int = 12, precision: float = 0.9, least: int = 5) -> list[Rule]:
-    """An ordered list of rejecting rules; rows that meet none are accepted.
+def learn_decision_list(x: np.ndarray, good: np.ndarray, names: list[str], most_rules: int = 16, precision: float = 0.9, least: int = 5) -> DecisionList:
+    """An ordered list of accepting and rejecting rules.
 
-    Rows are dealt to growing and pruning by position, two to one. A rule stays
-    if it covers ``least`` rows with the given precision over all rows left.
+    Rows are dealt to growing and pruning by position, two to one. In each step
+    one rule is made for either class; the one that is right more often (by
+    Laplace's estimate over all rows left, ties to the larger) is appended, if
+    it covers ``least`` rows with the given precision. The default is the class
+    of most rows left, accepting on a tie; final rules that say the same go.
     """
-    bad, left, rules = ~good.astype(bool), np.ones(len(good), dtype=bool), []
+    y, left, rules = good.astype(bool), np.ones(len(good), dtype=bool), []
     part = np.arange(len(good)) % 3 == 0
-    while len(rules) < most_rules and (bad & left).sum() >= least:
-        g, v = left & ~part, left & part
-        tests = grow(x[g], bad[g], names)
-        if not tests:
-            break
-        if v.any():
-            tests = prune(x[v], bad[v], names, tests)
-        covered = left & _meets(x, names, tests)
-        if covered.sum() < least or bad[covered].mean() < precision:
+    while len(rules) < most_rules and min(y[left].sum(), (~y)[left].sum()) >= least:
+        best: tuple | None = None
+        for says in (False, True):
+            right, g, v = y == says, left & ~part, left & part
+            tests = grow(x[g], right[g], names)
+            if tests and v.any():
+                tests = prune(x[v], right[v], names, tests)
+            covered = left & _meets(x, names, tests)
+            n, hits = int(covered.sum()), int(right[covered].sum())
+            if tests and n >= least and hits >= precision * n and (best is None or ((hits + 1) / (n + 2), n) > best[:2]):
+                best = ((hits + 1) / (n + 2), n, Rule(tuple(tests), says), covered)
+        if best is None:
             break
-        rules.append(Rule(tuple(tests), False))
-        left &= ~covered
-    return rules
-
-
-def verdict(rules: list[Rule]) -> Column:
-    """The list as one conditional expression over the columns of ``text_stats``: the first rule met decides, none accepts."""
-    out = F.lit(True)
-    for rule in reversed(rules):
+        rules.append(best[2])
+        left &= ~best[3]
+    default = bool(2 * y[left].sum() >= left.sum())
+    while rules and rules[-1].verdict == default:
+        rules.pop()
+    return DecisionList(tuple(rules), default)
+
+
+def verdict(learned: DecisionList) -> Column:
+    """The list as one conditional expression over the columns of ``text_stats``: the first rule met decides."""
+    out = F.lit(learned.default)
+    for rule in reversed(learned.rules):
         cond = F.lit(True)
         for name, at_least, cut in rule.tests:
             v = FEATURES[name](F.col)
@@ -175,32 +199,41 @@ def sampled_labels(labels: DataFrame, label: str, most: int, doc_id: str = "doc_
     return one.orderBy(F.xxhash64(F.lit(5), "_id"), "_id").limit(most)
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 12_000, doc_id: str = "doc_id", text: str = "text") -> list[Rule]:
-    """Learn a decision list from at most ``most_rows`` labelled documents, none of them held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _label, _t): at most ``most_rows`` labelled documents that are not held out, one row for each id.
+
+    Of rows that repeat an id the text with the smallest hash is taken; a null
+    text counts as empty.
+    """
     chosen = F.broadcast(sampled_labels(labels, label, most_rows, doc_id))  # its bound is most_rows
-    matched = docs.select(F.col(doc_id).alias("_d_id"), F.col(text).alias("_text")).join(chosen, F.col("_d_id") == F.col("_id"))
+    rows = docs.select(F.col(doc_id).alias("_d_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(chosen, F.col("_d_id") == F.col("_id"))
+    return rows.groupBy("_id").agg(F.max("_label").alias("_label"), F.min_by("_t", F.xxhash64("_t")).alias("_t"))
+
+
+def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 12_000, doc_id: str = "doc_id", text: str = "text") -> DecisionList:
+    """Learn a decision list from at most ``most_rows`` labelled documents, none of them held out."""
     names = list(FEATURES)
-    stats = text_stats(matched, ["_id", "_label"], "_text").select("_id", "_label", *[FEATURES[n](F.col).cast("double").alias(n) for n in names])
-    rows = sorted(tuple(r) for r in stats.dropDuplicates(["_id"]).collect())
+    stats = text_stats(labelled_sample(docs, labels, label, most_rows, doc_id, text), ["_id", "_label"], "_t").select("_id", "_label", *[FEATURES[n](F.col).cast("double").alias(n) for n in names])
+    rows = sorted(tuple(r) for r in stats.collect())
     if not rows:
-        return []
+        return DecisionList()
     order = np.random.default_rng(0).permutation(len(rows))
     x, y = np.array([r[2:] for r in rows])[order], np.array([r[1] for r in rows])[order]
     return learn_decision_list(x, y > 0, names)
 
 
-def apply_rules(docs: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text: str = "text", least_words: int = 50, most_repeat: int = 50) -> DataFrame:
+def apply_rules(docs: DataFrame, learned: DecisionList, doc_id: str = "doc_id", text: str = "text", least_words: int = 50, most_repeat: int = 50) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the base statistics, base_failed, kept.
 
     Edge cases: null and empty texts have no words, so they fail the base rule;
     null ids and repeated rows are rows like others; an empty table gives no
-    rows; other columns are ignored. Without labelled rows the list is empty
-    and the base rule alone decides.
+    rows; other columns are ignored. Without labelled rows the list is empty,
+    accepts, and the base rule alone decides.
     """
     stats = text_stats(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), ["doc_id"], "_text")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
-    out = stats.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))
+    out = stats.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(learned))
     return out.select("doc_id", *BASE, "base_failed", "kept")
 
 
-__all__ = ["BASE", "BLANKS", "FEATURES", "Rule", "apply_rules", "fit_rules", "learn_decision_list", "sampled_labels", "text_stats", "verdict"]
+__all__ = ["BASE", "BLANKS", "FEATURES", "DecisionList", "Rule", "apply_rules", "fit_rules", "labelled_sample", "learn_decision_list", "sampled_labels", "text_stats", "verdict"]

@@ -1,7 +1,9 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Each token has the log-odds of toxic against clean documents under a Dirichlet
-prior, less a drift that makes ordinary text score below zero. A linear-time
+Each token scores its log-odds of toxic against clean documents under a
+Dirichlet prior, whichever sign they have, less a drift that makes ordinary text
+score below zero. A token that does not differ between the two kinds beyond
+chance (or is unknown) has log-odds 0, so it scores minus the drift. A linear-time
 scan finds all maximal scoring segments of a text. A segment's significance
 follows from the extreme-value law of such maxima (Karlin and Altschul): in
 clean text of n tokens the number of segments scoring S or more is about
@@ -22,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ship
-from .quality import sampled_labels
+from .common import Workspace, held_out, ship
+from .quality import labelled_sample
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -35,9 +37,10 @@ def tokens(text: str | None) -> list[str]:
 def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of a token sequence.
 
-    ``hits`` are (position, score) of the tokens that score above zero; all
-    others score -drift. Each candidate remembers the nearest one before it that
-    begins at a lower running sum, so looking back never passes one twice.
+    ``hits`` are (position, score) of the tokens with a score of their own, of
+    either sign; all others score -drift and are passed over in one step. Each
+    candidate remembers the nearest one before it that begins at a lower running
+    sum, so looking back never passes one twice.
     """
     first: list[int] = []
     last: list[int] = []
@@ -46,6 +49,9 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[
     back: list[int] = []
     gained = 0.0
     for at, score in hits:
+        if score <= 0:
+            gained += score + drift
+            continue
         a = z = at
         l = gained - drift * at  # noqa: E741
         r = l + score
@@ -69,7 +75,7 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[
 
 @dataclass
 class Model:
-    """Scores of the tokens above zero, the drift of all others, the extreme-value law and the logistic curve."""
+    """Scores of the known tokens (log-odds less drift), the drift, the extreme-value law and the logistic curve."""
 
     scores: dict[str, float]
     drift: float = 1.0
@@ -88,8 +94,6 @@ class Model:
         words = tokens(text)
         scores = self.scores
         hits = [(i, scores[w]) for i, w in enumerate(words) if w in scores]
-        if not hits:
-            return [], len(words)
         found = [(a, z, s, self.p_value(s, len(words))) for a, z, s in maximal_segments(hits, self.drift)]
         return [x for x in found if x[3] < self.significant], len(words)
 
@@ -101,19 +105,20 @@ class Model:
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-def log_odds(toxic: int, clean: int, all_toxic: int, all_clean: int, prior: float) -> tuple[float, float]:
+def log_odds(toxic: Column, clean: Column, all_toxic: int, all_clean: int, prior: float) -> tuple[Column, Column]:
     """Log-odds of a token under a Dirichlet prior in proportion to its overall frequency, and its G statistic."""
     both, total = toxic + clean, all_toxic + all_clean
     alpha = prior * both / total
-    odds = lambda y, n: math.log((y + alpha) / (n + prior - y - alpha))
-    g = 2 * sum(y * math.log(y / (n * both / total)) for y, n in ((toxic, all_toxic), (clean, all_clean)) if y)
-    return odds(toxic, all_toxic) - odds(clean, all_clean), g
+    odds = lambda y, n: F.log((y + alpha) / (n + prior - y - alpha))
+    part = lambda y, n: F.when(y > 0, y * F.log(y / (n * both / total))).otherwise(0.0)
+    return odds(toxic, all_toxic) - odds(clean, all_clean), 2 * (part(toxic, all_toxic) + part(clean, all_clean))
 
 
 def solve_lambda(background: list[tuple[float, float]], drift: float) -> float:
-    """The positive root of sum p exp(lambda s) = 1; ``background`` has (score, share) of the tokens above zero."""
-    rest = 1 - sum(p for _, p in background)
-    f = lambda x: rest * math.exp(-drift * x) + sum(p * math.exp(min(700.0, s * x)) for s, p in background) - 1
+    """The positive root of sum p exp(lambda s) = 1; ``background`` has (score, share) of the known tokens, the others score -drift."""
+    score, share = np.array([s for s, _ in background]), np.array([p for _, p in background])
+    rest = max(0.0, 1 - share.sum())
+    f = lambda x: rest * math.exp(-drift * x) + float((share * np.exp(np.minimum(700.0, score * x))).sum()) - 1
     low, high = 1e-3, 1e-3
     while f(high) < 0 and high < 50:
         high *= 1.5
@@ -141,18 +146,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(max(w[0], 1e-6)), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 20_000, most_tokens: int = 50_000, prior: float = 50.0, drift: float = 1.0, least_g: float = 10.83, doc_id: str = "doc_id", text: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 20_000, prior: float = 50.0, drift: float = 1.0, least_g: float = 10.83, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Learn from at most ``most_rows`` labelled documents that are not held out.
 
-    Two thirds of them give the token scores, one third the extreme-value law
-    and the logistic curve. A token's count is the number of documents that have
-    it; counts are summed in each batch, then by Spark, and at most
-    ``most_tokens`` tokens, those with the largest G of at least ``least_g``,
-    reach the driver.
+    They are read once and kept in a table while this runs. Two thirds of them
+    give the token scores, one third the extreme-value law and the logistic
+    curve. A token's count is the number of documents that have it; counts are
+    summed in each batch, then by Spark. All tokens with a G of ``least_g`` or
+    more reach the driver; the sample bounds their number.
     """
     ship(docs.sparkSession)
-    chosen = F.broadcast(sampled_labels(labels, label, most_rows, doc_id))  # its bound is most_rows
-    rows = docs.select(F.col(doc_id).alias("_d_id"), F.col(text).alias("_t")).join(chosen, F.col("_d_id") == F.col("_id")).select("_id", "_label", "_t")
+    ws = Workspace(docs.sparkSession, "toxicity")
+    rows = ws.stored(labelled_sample(docs, labels, label, most_rows, doc_id, text), "sample")
     third = F.pmod(F.xxhash64(F.lit(29), "_id"), F.lit(3)) == 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,46 +169,50 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int
                 every = list(by[0].keys() | by[1].keys())
                 yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([by[1][w] for w in every], pa.int64()), pa.array([by[0][w] for w in every], pa.int64())], ["token", "toxic", "clean"])
 
-    counts = rows.where(~third).select("_label", "_t").mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = ws.stored(rows.where(~third).select("_label", "_t").mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "counts")
     totals = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     n_toxic, n_clean = totals[0] or 0, totals[1] or 0
     model = Model({}, drift)
-    if not n_toxic or not n_clean:
-        model.offset = -10.0 if not n_toxic else 10.0
-        return model
-    leaning = F.col("toxic") * n_clean > F.col("clean") * n_toxic
-    best = counts.where(leaning & (F.col("toxic") > 1)).orderBy(F.desc(F.col("toxic") / (F.col("clean") + 0.5)), F.desc("toxic"), "token").limit(most_tokens).collect()
-    background = []
-    for r in best:
-        score, g = log_odds(r["toxic"], r["clean"], n_toxic, n_clean, prior)
-        if g >= least_g and score > drift:
-            model.scores[r["token"]] = score - drift
-            background.append((score - drift, (r["clean"] + 0.5) / (n_clean + 1)))
-    if not model.scores:
-        return model
-    model.lam = solve_lambda(background, drift)
-    raw = Model(model.scores, drift)
+    if n_toxic and n_clean:
+        odds, g = log_odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean, prior)
+        known = counts.select("token", "clean", odds.alias("odds"), g.alias("g")).where(F.col("g") >= least_g).orderBy("token").collect()
+        model.scores = {r["token"]: r["odds"] - drift for r in known}
+        model.lam = solve_lambda([(r["odds"] - drift, (r["clean"] + 0.5) / (n_clean + 1)) for r in known], drift)
+        _calibrate(model, rows.where(third).select((F.col("_label") > 0).alias("toxic"), "_t"))
+    else:
+        model.offset = 10.0 if n_toxic else -10.0
+    ws.keep()
+    return model
+
+
+def _calibrate(model: Model, rows: DataFrame) -> None:
+    """Set K from the segments of clean rows, then the logistic curve from the evidence of all; texts stay where they are."""
+    least = min((s for s in model.scores.values() if s > 0), default=None)
+    if least is None:
+        return
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, segments = [], []
+            length, over = [], []
             for t in batch.column(1):
                 words = tokens(t.as_py())
-                hits = [(i, raw.scores[w]) for i, w in enumerate(words) if w in raw.scores]
                 length.append(len(words))
-                segments.append([s for _, _, s in maximal_segments(hits, drift)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(length, pa.int64()), pa.array(segments, pa.list_(pa.float64()))], ["label", "n", "s"])
-
-    held = rows.where(third).select(F.col("_label").cast("long").alias("label"), "_t").mapInArrow(scan, "label long, n long, s array<double>").select("label", "n", F.slice(F.sort_array("s", asc=False), 1, 1000).alias("s")).collect()
-    clean = [r for r in held if not r["label"]]
-    floor = min(model.scores.values())
-    seen, room = sum(1 for r in clean for s in r["s"] if s >= floor), sum(r["n"] for r in clean)
-    model.k = (seen + 0.5) / max(1.0, room * math.exp(-model.lam * floor))
-    x = np.array([sum(-math.log(max(p, 1e-300)) for p in (model.p_value(s, r["n"]) for s in r["s"]) if p < model.significant) for r in held])
-    y = np.array([r["label"] > 0 for r in held], dtype=float)
+                hits = [(i, model.scores[w]) for i, w in enumerate(words) if w in model.scores]
+                over.append(sum(s >= least for _, _, s in maximal_segments(hits, model.drift)))
+            yield pa.RecordBatch.from_arrays([pa.array(length, pa.int64()), pa.array(over, pa.int64())], ["n", "over"])
+
+    room, seen = rows.where("not toxic").mapInArrow(scan, "n long, over long").agg(F.sum("n"), F.sum("over")).first()
+    model.k = ((seen or 0) + 0.5) / max(1.0, (room or 0) * math.exp(-model.lam * least))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.evidence(model.segments(t.as_py())[0]) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["toxic", "evidence"])
+
+    held = sorted(tuple(r) for r in rows.mapInArrow(weigh, "toxic boolean, evidence double").collect())  # a third of most_rows
+    y, x = np.array([r[0] for r in held], dtype=float), np.array([r[1] for r in held])
     if len(y) and 0 < y.sum() < len(y):
         model.slope, model.offset = logistic(x, y)
-    return model
 
 
 def scored(text: Column, model: Model) -> Column:

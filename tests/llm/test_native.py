@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from brute import stats, words
@@ -55,6 +56,35 @@ def test_packing_edges(edge, nothing, given):
     assert packing.pack_lengths(nothing).count() == 0
 
 
+def test_packing_by_brute_force(spark):
+    """The query's buckets waste as little as any, and its batches hold every piece once."""
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    found = queries.op4_length_buckets(spark, DATA).collect()
+    pieces = {(i, p): min(4096, n - 4096 * p) for i, n in ((i, len(words(t))) for i, t in text.items()) for p in range(max(1, -(-n // 4096)))}
+    assert {(r["doc_id"], r["piece"]): r["length"] for r in found} == pieces and len(found) == len(pieces)
+    assert all(r["start"] == 4096 * r["piece"] for r in found)
+    count = sorted(Counter(pieces.values()).items())
+    best = {0: 0}  # lengths covered -> least padding, one bucket more in each round
+    for _ in range(16):
+        more = dict(best)
+        for j in range(1, len(count) + 1):
+            cost, top = 0, count[j - 1][0]
+            for i in range(j - 1, -1, -1):
+                cost += count[i][1] * (top - count[i][0])
+                if i in best and best[i] + cost < more.get(j, math.inf):
+                    more[j] = best[i] + cost
+        best = more
+    assert sum(r["padding"] for r in found) == best[len(count)]
+    bounds = sorted({(r["bucket"], r["bucket_len"]) for r in found})
+    assert [b for b, _ in bounds] == list(range(len(bounds))) and len(bounds) <= 16
+    for r in found:
+        assert r["bucket_len"] == min(b for _, b in bounds if b >= r["length"]) == r["length"] + r["padding"]
+    for k, b in bounds:
+        full = max(1, 65_536 // max(1, b))
+        places = sorted((r["batch"], r["place"]) for r in found if r["bucket"] == k)
+        assert places == [divmod(i, full) for i in range(len(places))]
+
+
 # sharding
 
 
@@ -91,6 +121,18 @@ def test_a_hot_group_is_cut_by_rows(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.02 * sum(sizes) / 8 + 100
 
 
+def test_groups_of_copies_whole_or_cut(spark):
+    """``whole`` never divides a group; ``cut`` does, and says which."""
+    rows = [(i, "one text for all of these") for i in range(3000)] + [(10_000 + i, f"text {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole = sharding.assign_shards(df, copies="whole").collect()
+    assert len({r["shard"] for r in whole if r["doc_id"] < 3000}) == 1 and not any(r["group_cut"] for r in whole)
+    cut = sharding.assign_shards(df).collect()
+    assert {r["doc_id"] for r in cut if r["group_cut"]} == set(range(3000))
+    with pytest.raises(ValueError, match="cut or whole"):
+        sharding.assign_shards(df, copies="some")
+
+
 def test_shard_edges(spark, edge, nothing, given, tmp_path):
     found = sharding.assign_shards(edge, shards=5).collect()
     assert len(found) == len(given) and {r["size"] for r in found if r["doc_id"] in (0, 1)} == {1}
@@ -99,8 +141,9 @@ def test_shard_edges(spark, edge, nothing, given, tmp_path):
     assert sharding.assign_shards(nothing).count() == 0
     one = sharding.assign_shards(edge.where("doc_id = 10"), shards=8).collect()
     assert sorted(r["slot"] for r in one) in ([0, 1, 2], [0, 0, 1], [0, 0, 0])
-    sharding.write_shards(edge.drop("shard"), str(tmp_path / "s"), 3)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == len(given)
+    assert sharding.write_shards(edge, str(tmp_path / "s"), 3) == "shard_"
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == len(given) and {r["shard"] for r in back.collect()} == {"shard"} and set(back.columns) == {*edge.columns, "shard_"}
 
 
 # mixing
@@ -146,7 +189,7 @@ def test_mixing_edges(edge, nothing, given):
 
 
 def test_base_statistics(spark, edge, given):
-    found = quality.apply_rules(edge, [])
+    found = quality.apply_rules(edge, quality.DecisionList())
     no_python(found)
     got = sorted(((r["doc_id"], *[r[c] for c in quality.BASE]) for r in found.collect()), key=repr)
     assert got == sorted(((i, *stats(t)) for i, t, *_ in given), key=repr)
@@ -167,24 +210,64 @@ def test_held_out_verdicts(spark):
     assert np.mean([bool(a) == b for a, b in held]) > 0.85
 
 
+def features(text):
+    """What the rules test, plainly."""
+    n, chars, symbols, dups, repeats = stats(text)
+    w, lines = words(text), [x for x in (text or "").split("\n") if words(x)]
+    alpha = sum(bool(regex.fullmatch(r"\p{L}+[.,;:!?]?", x)) for x in w)
+    a, b = max(1, n), max(1, len(lines))
+    return {"words": n, "mean_word": chars / a, "symbol_share": symbols / a, "dup_line_share": dups / b, "repeat_share": repeats / a, "distinct_share": len(set(w)) / a, "alpha_share": alpha / a, "words_a_line": n / b}
+
+
+def test_verdicts_by_brute_force(spark):
+    """The list learned from plain features, and each row's verdict from that list."""
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r["quality"] is not None}
+    row = {i: features(t) for i, t in text.items()}
+    learn = sorted(i for i in label if i in text and zlib.crc32(str(i).encode()) % 5)
+    order = np.random.default_rng(0).permutation(len(learn))
+    names = list(quality.FEATURES)
+    x, y = (np.array(v, dtype=float)[order] for v in ([[row[i][n] for n in names] for i in learn], [label[i] for i in learn]))
+    learned = quality.learn_decision_list(x, y > 0, names)
+    for r in queries.op8_decision_list(spark, DATA).collect():
+        assert r["kept"] == (not r["base_failed"] and learned.decide(row[r["doc_id"]]))
+
+
 def test_learned_rules():
-    rng = np.random.default_rng(1)
-    x = rng.random((600, 3))
-    good = ~((x[:, 0] > 0.7) & (x[:, 1] < 0.5) | (x[:, 2] > 0.95))
-    rules = quality.learn_decision_list(x, good, ["a", "b", "c"])
-    kept = np.ones(600, bool)
-    for r in rules:
-        kept &= ~quality._meets(x, ["a", "b", "c"], list(r.tests))
-    assert (kept == good).mean() > 0.95 and 1 < len(rules) < 8
-    assert quality.learn_decision_list(x, np.ones(600, bool), ["a", "b", "c"]) == []
+    rng, names = np.random.default_rng(1), ["a", "b", "c"]
+    x = rng.random((900, 3))
+    good = ~((x[:, 0] > 0.7) & (x[:, 1] < 0.5) | (x[:, 2] > 0.9))
+    learned = quality.learn_decision_list(x, good, names)
+    kept = np.array([learned.decide(dict(zip(names, v, strict=True))) for v in x])
+    assert (kept == good).mean() > 0.95 and 0 < len(learned.rules) < 12
+    assert quality.learn_decision_list(x, np.ones(900, bool), names) == quality.DecisionList()
+    assert quality.learn_decision_list(x, np.zeros(900, bool), names) == quality.DecisionList((), False)
+
+
+def test_order_decides(spark):
+    """An exception inside an exception takes rules of both classes; the column says what the list says, and swapped rules say something else."""
+    rng, names = np.random.default_rng(2), list(quality.FEATURES)
+    x = np.column_stack([rng.integers(0, 100, 3000)] + [rng.random(3000) for _ in names[1:]])
+    good = np.where(x[:, 0] < 30, True, np.where(x[:, 2] > 0.6, x[:, 4] > 0.7, True))
+    learned = quality.learn_decision_list(x, good, names)
+    assert {r.verdict for r in learned.rules} | {learned.default} == {True, False}
+    rules = (quality.Rule((("words", False, 30.0),), True), quality.Rule((("symbol_share", True, 0.6),), False))
+    lists = [learned, quality.DecisionList(rules), quality.DecisionList(rules[::-1])]
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_alpha"]
+    counts = rng.integers(0, 60, (400, len(base)))
+    df = spark.createDataFrame([tuple(map(int, r)) for r in counts], ", ".join(f"{c} long" for c in base))
+    found = df.select(*[quality.FEATURES[n](F.col).cast("double").alias(n) for n in names], *[quality.verdict(k).alias(f"v{i}") for i, k in enumerate(lists)]).collect()
+    for i, k in enumerate(lists):
+        assert [r[f"v{i}"] for r in found] == [k.decide(r.asDict()) for r in found]
+    assert any(r["v1"] != r["v2"] for r in found)
 
 
 def test_quality_without_labels(spark, edge, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert quality.fit_rules(edge, none) == [] and quality.fit_rules(nothing, none) == []
+    assert quality.fit_rules(edge, none) == quality.fit_rules(nothing, none) == quality.DecisionList()
     some = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (8, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     quality.fit_rules(edge, some)
-    assert quality.apply_rules(nothing, []).count() == 0
+    assert quality.apply_rules(nothing, quality.DecisionList()).count() == 0
 
 
 # chat
