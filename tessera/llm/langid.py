@@ -128,7 +128,7 @@ def fit_profiles(docs: DataFrame, size: int = 300, most_rows: int = 4_000, most_
                 codes, n = counted_ngrams(t.as_py())
                 held.setdefault(k, []).append(np.stack((codes, n)))
                 waiting += len(codes)
-                if waiting > 2_000_000:
+                if waiting > 200_000:
                     yield from summed(held)
                     held, waiting = {}, 0
             yield from summed(held)

@@ -60,6 +60,13 @@ class PartEnum:
         self.num, self.den, self.cells = num, den, cells
         self._bands: list[tuple[int, int]] = []
 
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, PartEnum) and (self.num, self.den, self.cells) == (other.num, other.den, other.cells)
+
+    def __hash__(self) -> int:
+        """Equal for equal parameters: what one task of a worker has cached serves the next."""
+        return hash((self.num, self.den, self.cells))
+
     def bands(self, size: int) -> list[tuple[int, int]]:
         while not self._bands or self._bands[-1][1] < size:
             low = self._bands[-1][1] + 1 if self._bands else 1
@@ -156,38 +163,46 @@ def _sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return [shingle_set(w, n) for w in word_hashes(texts)]
 
 
-def text_classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The id and text of each row with ``_h``, a 128-bit hash of its lower-cased words."""
+def word_hash(data: bytes) -> bytes:
+    """A 128-bit hash of the words of a text that is lower-cased already."""
+    return xxhash.xxh3_128_digest(b" ".join(data.split()))
+
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """The rows (id, t) of ``docs`` with ``h``, the hash of their words."""
 
     @F.arrow_udf("binary")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([xxhash.xxh3_128_digest(b" ".join(normalise(t.as_py()).split())) for t in texts], pa.binary())
+        return pa.array([word_hash(normalise(t.as_py())) for t in texts], pa.binary())
 
-    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t")).withColumn("_h", run("_t"))
+    return docs.withColumn("h", run("t"))
 
 
-def _representatives(hashed: DataFrame, slim: DataFrame, ws: Workspace, most_broadcast: int) -> tuple[DataFrame, bool]:
-    """One row (id, h, t) for each class: the one with its smallest id; and whether an id and text are repeated.
+def _representatives(docs: DataFrame, slim: DataFrame, ws: Workspace, most_broadcast: int) -> tuple[DataFrame, bool]:
+    """The rows (id, t) of ``docs`` that stand for their classes, and whether ids are repeated.
 
-    Only ids and hashes are grouped. The rows that go are the few that are not
-    their class's first; they are broadcast up to ``most_broadcast`` and texts
-    are moved only above that, or if an id and its text are repeated.
+    Only ids and hashes are grouped. The rows that go are those with an id that
+    is not their class's smallest; their ids are broadcast up to ``most_broadcast``
+    and texts are moved only above that. Where ids are repeated, rows are told
+    apart by id and hash and written to a table, one for each such pair. Rows
+    without an id stay; they give their class a size and nothing else.
     """
-    several = slim.groupBy(F.col("_h").alias("_k")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    grouped = slim.join(several, F.col("_h") == F.col("_k"))
-    copies = ws.stored(grouped.where(~F.col("_id").eqNullSafe(F.col("_first"))).select(F.col("_id").alias("_i"), "_k").distinct(), "copies")
-    repeated = not grouped.where(F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_k").count().where("count > 1").isEmpty()
+    several = slim.groupBy(F.col("h").alias("_k")).agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    grouped = slim.join(several, F.col("h") == F.col("_k")).where("id <> _first")
+    copies = ws.stored(grouped.select(F.col("id").alias("_i"), "_k").distinct(), "copies")
+    repeated = not slim.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     few = copies.count() <= most_broadcast
-    left = hashed.join(F.broadcast(copies) if few else copies, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_k")), "left_anti")
-    if repeated:
-        left = left.dropDuplicates(["_id", "_h"])
-    return left.select(F.col("_id").alias("id"), F.col("_h").alias("h"), F.col("_t").alias("t")), repeated
+    gone = F.broadcast(copies) if few else copies
+    if not repeated:
+        return docs.join(gone, F.col("id") == F.col("_i"), "left_anti"), False
+    left = text_classes(docs).join(gone, (F.col("id") == F.col("_i")) & (F.col("h") == F.col("_k")), "left_anti")
+    return ws.stored(left.dropDuplicates(["id", "h"]).select("id", "t"), "firsts"), True
 
 
 def _signed(classes: DataFrame, scheme: PartEnum, n: int) -> DataFrame:
     """(sig, id) for signatures of two texts or more; with a null sig (id, h, n, s): the size and sketch of each class's set.
 
-    ``classes`` has id, h and t (text); a class without an id has a size only.
+    ``classes`` has id and t (text); a row without an id gives a size only.
 
     Rows of one signature in one part of an Arrow batch are combined before the
     exchange: the first stands for the others, which are known to share it and
@@ -212,7 +227,7 @@ def _signed(classes: DataFrame, scheme: PartEnum, n: int) -> DataFrame:
         for batch in batches:
             nameless = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts, sizes, sketches, at = batch.column(2), [], [], 0
+            texts, sizes, sketches, hashes, at = batch.column(1), [], [], [], 0
             while at < len(ids):  # a few MB of text at a time
                 part: list[bytes] = []
                 size, end = 0, at
@@ -221,6 +236,7 @@ def _signed(classes: DataFrame, scheme: PartEnum, n: int) -> DataFrame:
                     size += len(part[-1])
                     end += 1
                 sigs = []
+                hashes += map(word_hash, part)
                 for i, features in enumerate(_sets(part, n), at):
                     sizes.append(len(features))
                     sketches.append(sketch(features))
@@ -242,10 +258,10 @@ def _signed(classes: DataFrame, scheme: PartEnum, n: int) -> DataFrame:
                 columns = [pa.array(key[starts] // 3, pa.int32()), pa.array(key[starts] % 3, pa.int8()), lists(every[order].view(np.int64), cuts), lists(own[order], cuts), pa.nulls(len(starts), pa.binary()), pa.nulls(len(starts), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names)
             one = np.arange(len(ids) + 1)
-            columns = [pa.array(dealt(mix(ids.view(np.uint64))), pa.int32()), pa.array(np.full(len(ids), SIZE, np.int8)), lists(np.array(sizes, np.int64), one), pa.ListArray.from_arrays(pa.array(one, pa.int32()), batch.column(0)), batch.column(1), pa.array(sketches, pa.list_(pa.int64()))]
+            columns = [pa.array(dealt(mix(ids.view(np.uint64))), pa.int32()), pa.array(np.full(len(ids), SIZE, np.int8)), lists(np.array(sizes, np.int64), one), pa.ListArray.from_arrays(pa.array(one, pa.int32()), batch.column(0)), pa.array(hashes, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    made = classes.select("id", "h", "t").mapInArrow(run, "to int, kind byte, sigs array<long>, ids array<long>, h binary, s array<long>")
+    made = classes.select("id", "t").mapInArrow(run, "to int, kind byte, sigs array<long>, ids array<long>, h binary, s array<long>")
     rows = made.repartitionById(parts, "to").select("to", "kind", "h", "s", F.inline(F.arrays_zip("sigs", "ids")).alias("sig", "id"))
     salt = F.when(F.col("kind") >= FOLLOWER, F.xxhash64("id")).otherwise(F.lit(0))
     counted = rows.withColumn("_salt", salt).withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("sig", "_salt", "to")))
@@ -375,15 +391,17 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     ship(spark)
     ws = ws or Workspace(spark, "ngram-join")
     scheme = PartEnum(num, den, cells)
-    hashed = text_classes(docs, doc_id, text)
-    slim = ws.stored(hashed.select("_id", "_h"), "classes")
-    firsts, repeated = _representatives(hashed, slim, ws, most_broadcast)
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+    slim = ws.stored(text_classes(texts).select("id", "h"), "classes")
+    firsts, repeated = _representatives(texts, slim, ws, most_broadcast)
     table = ws.stored(_signed(firsts, scheme, n), "signatures")
-    sizes = ws.stored(table.where("sig is null").select("h", "id", "n", "s"), "sizes")
+    sizes = table.where("sig is null").select("h", "id", "n", "s")
+    if not slim.where("id is null").isEmpty():  # rows without an id can repeat a class
+        sizes = sizes.groupBy("h").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("s").alias("s"))
+    sizes = ws.stored(sizes, "sizes")
     members = ws.stored(_memberships(table.where("sig is not null").select("sig", "id")), "members")
     sketches = ws.stored(sizes.select("id", "n", "s").join(members.select("id").distinct(), "id", "left_semi"), "sketches")
     ws.keep(slim, sizes, members, sketches)
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     check = _Verifier(texts, sketches, ws, n, num, den, repeated, most_broadcast)
     joined: DataFrame | None = None  # (v, root) over all classes so far
     given, members = members, members.withColumn("comp", F.col("id"))
@@ -428,13 +446,13 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     if not rest.isEmpty() and not (links := check.links(rest)).isEmpty():
         absorb(links)
 
-    out = slim.join(sizes.select(c("h").alias("_k"), c("id").alias("_rep"), c("n").alias("_n")), c("_h") == c("_k"), "left")
+    out = slim.join(sizes.select(c("h").alias("_k"), c("id").alias("_rep"), c("n").alias("_n")), c("h") == c("_k"), "left")
     if joined is not None:
         out = out.join(joined.select(c("v").alias("_v"), c("root").alias("_root")), c("_rep") == c("_v"), "left")
     else:
         out = out.withColumn("_root", F.lit(None).cast("long"))
-    own = F.when(c("_id").isNull() | (c("_n") == 0), c("_id")).otherwise(F.coalesce("_root", "_rep"))
-    result = ws.stored(out.select(c("_id").alias("doc_id"), c("_n").alias("n_shingles"), own.alias("component_id")), "components")
+    own = F.when(c("id").isNull() | (c("_n") == 0), c("id")).otherwise(F.coalesce("_root", "_rep"))
+    result = ws.stored(out.select(c("id").alias("doc_id"), c("_n").alias("n_shingles"), own.alias("component_id")), "components")
     ws.keep(result)
     return result
 
