@@ -13,7 +13,7 @@ import numpy as np
 
 _M = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
