@@ -281,8 +281,8 @@ def _memberships(members: DataFrame) -> DataFrame:
     return members.join(kept, "sig").select("sig", "id", "w")
 
 
-def _similar(num: int, den: int, na: Column, nb: Column, a: Column, b: Column, whole: bool = True) -> Column:
-    """What sizes and sketches (only their first ``SKETCH`` bits unless ``whole``) allow: false only for pairs below the threshold.
+def _similar(num: int, den: int, na: Column, nb: Column, a: Column, b: Column) -> Column:
+    """What sizes and sketches allow: false only for pairs below the threshold.
 
     Of two wide sketches the longer one is folded to the other's width: sizes so
     near differ by a factor of two at most.
@@ -292,8 +292,6 @@ def _similar(num: int, den: int, na: Column, nb: Column, a: Column, b: Column, w
         apart = apart + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
     within = lambda d: d * (den + num) <= (na + nb) * (den - num)
     first = (F.least(na, nb) * den >= F.greatest(na, nb) * num) & within(apart)
-    if not whole:
-        return first
     wide = F.least(F.size(a), F.size(b)) - base
 
     def at(x: Column, i: Column) -> Column:
@@ -443,10 +441,10 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             break
 
     largest = leading(members).select("sig", "big")
-    rows = members.join(largest, "sig").join(check.slim("i"), c("id") == c("i")).select("sig", "id", "comp", "ni", F.slice("si", 1, SKETCH // 64).alias("si"), (c("comp") == c("big")).alias("main"))
+    rows = members.join(largest, "sig").join(check.slim("i"), c("id") == c("i")).select("sig", "id", "comp", "ni", "si", (c("comp") == c("big")).alias("main"))
     left, right = rows.where("not main").alias("l"), rows.alias("r")
-    meet = (c("l.sig") == c("r.sig")) & (c("l.comp") != c("r.comp")) & (c("r.main") | (c("l.id") < c("r.id"))) & _similar(num, den, c("l.ni"), c("r.ni"), c("l.si"), c("r.si"), whole=False)
-    rest = ws.stored(check.likely(left.join(right, meet).select(c("l.id").alias("a"), c("r.id").alias("b")).distinct()).distinct(), "pairs")
+    meet = (c("l.sig") == c("r.sig")) & (c("l.comp") != c("r.comp")) & (c("r.main") | (c("l.id") < c("r.id"))) & _similar(num, den, c("l.ni"), c("r.ni"), c("l.si"), c("r.si"))
+    rest = ws.stored(left.join(right, meet).select(c("l.id").alias("a"), c("r.id").alias("b")).distinct(), "pairs")
     ws.drop(given)
     if not rest.isEmpty() and not (links := check.links(rest)).isEmpty():
         absorb(links)
