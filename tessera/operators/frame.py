@@ -164,13 +164,14 @@ class LazyFrame:
     def tail(self, n: int = 5) -> LazyFrame:
         """The last n rows. After a sort this is a top-n of the reversed order, sorted back.
 
-        Of an unsorted frame, whose order is unspecified, the rows before are counted and skipped.
+        Of an unsorted frame it is a top-n by position in the input's partitions; nothing runs until the result is asked for.
         """
         _count(n, "tail()")
         if self._sort:
             order, back = self._sort
             return LazyFrame(self.df.orderBy(*back).limit(n).orderBy(*order), self._sort)
-        return LazyFrame(self.df.offset(max(0, self.df.count() - n)))
+        placed = self.df.withColumn(ORDER, F.monotonically_increasing_id())
+        return LazyFrame(placed.orderBy(F.desc(ORDER)).limit(n).orderBy(ORDER).drop(ORDER))
 
     def distinct(self, *subset: str) -> LazyFrame:
         """Distinct rows; with a subset, the distinct combinations of these columns only."""

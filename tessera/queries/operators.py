@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import call, col, lit, row_number, when
 from ..operators import LazyFrame
-from ..plans import sql
+from ..plans import optimize_plan, signature, sql, validate_plan
+from ..sources import from_arrow, from_pandas, read_csv
 from ..streaming import windowed_events
 from .star import REVENUE, Tables, day, tables, total
 
@@ -132,8 +135,60 @@ simple("win_cum_sum", "select event_id, round(sum(value) over (partition by user
 simple("event_windows", "select time_bucket(interval 1 hour, ts)::timestamp as window_start, time_bucket(interval 1 hour, ts)::timestamp + interval 1 hour as window_end, event_type, count(*) as n, round(sum(value), 2) as total from events group by all",
        lambda t: LazyFrame(windowed_events(t("events").df)).with_columns(col("window_start").cast("timestamp_ntz").alias("window_start"), col("window_end").cast("timestamp_ntz").alias("window_end"), col("total").round(2).alias("total")))
 
+# whole-table windows, spread over buckets of the order key
+simple("whole_row_number", "select event_id, row_number() over (order by value desc nulls last, event_id desc) as w from events", lambda t: t("events").select("event_id", row_number().over(order_by=["value", "event_id"], descending=True).alias("w")))
+simple("whole_rank", "select event_id, rank() over (order by user_id nulls last) as w from events", lambda t: t("events").select("event_id", col("user_id").rank().alias("w")))
+simple("whole_dense_rank", "select event_id, dense_rank() over (order by user_id nulls last) as w from events", lambda t: t("events").select("event_id", col("user_id").dense_rank().alias("w")))
+simple("whole_dense_rank_text", "select event_id, dense_rank() over (order by event_type nulls last) as w from events", lambda t: t("events").select("event_id", col("event_type").dense_rank().alias("w")))
+simple("whole_lag", "select event_id, lag(value, 3) over (order by event_id) as w from events", lambda t: t("events").select("event_id", col("value").lag(3).over(order_by="event_id").alias("w")))
+simple("whole_lead", "select event_id, lead(value, 1, -1.0) over (order by event_id desc) as w from events", lambda t: t("events").select("event_id", col("value").lead(1, -1.0).over(order_by="event_id", descending=True).alias("w")))
+simple("whole_cum_sum", "select event_id, round(sum(value) over (order by event_id rows unbounded preceding), 2) as w from events", lambda t: t("events").select("event_id", col("value").cum_sum().over(order_by="event_id").round(2).alias("w")))
+
+
+# converters, sinks and persisted frames
+def _round_trip(t: Tables, back: Callable) -> LazyFrame:
+    """Nation through another form of table and back."""
+    return back(t("nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+_NATION = "select n_nationkey, n_name, n_regionkey from nation"
+simple("from_arrow", _NATION, lambda t: _round_trip(t, lambda f: from_arrow(f.to_arrow())))
+simple("from_pandas", _NATION, lambda t: _round_trip(t, lambda f: from_pandas(f.to_pandas())))
+simple("compute", _NATION, lambda t: _round_trip(t, lambda f: LazyFrame(f.compute())))
+simple("persisted", "select c_nationkey, count(*) as n from customer where c_acctbal > 0 group by 1", lambda t: t("customer").to_gpu().filter(col("c_acctbal") > 0).groupby("c_nationkey").agg(col("c_custkey").count().alias("n")))
+
+
+@query("select c_custkey, c_mktsegment, c_nationkey from customer")
+def csv_round_trip(t: Tables) -> LazyFrame:
+    """Written as CSV to the folder that all machines share, and read with inferred types."""
+    given = t("customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    spark = given.df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{top}/csv-{uuid.uuid4().hex}"
+    given.write_csv(path)
+    return read_csv(path, schema=given.schema)
+
+
+@query("select signatures, errors, changed from (values (true, 0::bigint, true)) v(signatures, errors, changed)")
+def plan_utilities(t: Tables) -> LazyFrame:
+    """Equal plans have one signature, a good plan has no error, and two filters are merged."""
+    one, two = (t("orders").filter(col("o_totalprice") > 1).filter(col("o_custkey") > 2) for _ in range(2))
+    trace = optimize_plan(one).trace
+    return from_arrow(pa.table({"signatures": [signature(one) == signature(two)], "errors": [len(validate_plan(one))], "changed": [any("Filter" in x for x in trace)]}))
+
+
 # SQL
 _SQL = {
+    "sql_left_join": "select c.c_custkey, o.o_orderkey from customer c left join orders o on c.c_custkey = o.o_custkey and o.o_totalprice > 400000",
+    "sql_using": "select k, a.n as n, b.m as m from (select c_nationkey as k, count(*) as n from customer group by c_nationkey) a join (select s_nationkey as k, count(*) as m from supplier group by s_nationkey) b using (k)",
+    "sql_distinct": "select distinct o_orderstatus, o_orderpriority from orders",
+    "sql_offset": "select c_custkey from customer order by c_acctbal desc, c_custkey limit 10 offset 5",
+    "sql_exists": "select o_orderkey from orders o where exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_quantity >= 49) and not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_returnflag = 'R')",
+    "sql_sets": "(select c_nationkey as k from customer union select n_nationkey from nation) except select s_nationkey from supplier where s_acctbal < 0",
+    "sql_intersect": "select l_suppkey as k from lineitem where l_quantity > 49 intersect select s_suppkey from supplier where s_acctbal > 0",
+    "sql_arithmetic": "select s_suppkey, -s_acctbal as a, s_acctbal * 2 - 1.5 as b, (s_acctbal + s_nationkey) / 4 as c from supplier",
+    "sql_from_subquery": "select flag, count(*) as n from (select l_returnflag as flag, l_quantity as q from lineitem) x where q > 40 group by flag",
+    "sql_like": "select p_partkey from part where p_name like '%red%' or p_brand like 'Brand#1_'",
     "sql_select": "select c_mktsegment, count(*) as n, round(sum(c_acctbal), 2) as s from customer where c_acctbal > 0 and c_mktsegment not in ('MACHINERY') group by c_mktsegment having count(*) > 10 order by n desc, c_mktsegment limit 3",
     "sql_join": "select n.n_name, count(*) as n from supplier s join nation n on s.s_nationkey = n.n_nationkey left join region r on n.n_regionkey = r.r_regionkey where r.r_name like 'A%' group by n.n_name",
     "sql_case": "select o_orderstatus, cast(sum(case when o_totalprice > 200000 then 1 else 0 end) as bigint) as big, cast(sum(case when o_orderpriority between '1' and '3' then 1 end) as bigint) as urgent from orders group by o_orderstatus",
@@ -141,7 +196,7 @@ _SQL = {
     "sql_window": "select event_id, row_number() over (partition by user_id order by event_id) as rn from events where event_type = 'purchase'",
 }
 for _name, _text in _SQL.items():
-    simple(_name, _text if _name != "sql_window" else _text, lambda t, text=_text: sql(text, **{n: t(n) for n in ("customer", "supplier", "nation", "region", "orders", "lineitem", "events")}))
+    simple(_name, _text if _name != "sql_window" else _text, lambda t, text=_text: sql(text, **{n: t(n) for n in ("customer", "supplier", "nation", "region", "part", "orders", "lineitem", "events")}))
 QUERIES["sql_window"] = lambda spark, folder: sql(_SQL["sql_window"], events=tables(spark, folder)("events")).with_columns(col("rn").cast("bigint").alias("rn")).df
 
 __all__ = ["ORACLES", "QUERIES", "day"]
