@@ -358,7 +358,7 @@ class _Verifier:
         return found
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, rounds: int = 8, partners: int = 8, tests: int = 64, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000, ws: Workspace | None = None) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, rounds: int = 2, partners: int = 8, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000, ws: Workspace | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id.
 
     Documents link if the Jaccard similarity of their sets of distinct n-word
@@ -368,9 +368,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     each of at most ``rounds`` rounds every class takes the leaders of its signatures in
     other components, tries the sketches of the ``partners`` it shares most with
     and is verified against the best of them, which joins most of a large group
-    of near copies at the cost of one pair each. Rounds, ``rounds`` at most, go on
-    as long as they find links and the last pass would make more than ``tests``
-    sketch tests for each row of its input. That pass takes all pairs that share a signature across components, leaving out those of a
+    of near copies at the cost of one pair each. A last pass takes all pairs that share a signature across components, leaving out those of a
     signature's largest component among themselves, so no link is lost; sizes
     and parity sketches, which never rule out a true link, are tested inside
     the join before a pair is made.
@@ -417,11 +415,6 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         joined = ws.stored(moved.unionByName(roots.join(old.select("v"), "v", "left_anti")), "roots")
         return roots
 
-    def leading(members: DataFrame) -> DataFrame:
-        """For each signature its largest component and how many tests the last pass makes there."""
-        share = members.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
-        return share.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("c")).select("sig", c("m.comp").alias("big"), ((c("c") - c("m.c")).cast("double") * c("c")).alias("work"), "c")
-
     for r in range(rounds):
         lead = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("o"), c("id").alias("b"), c("comp").alias("c"))).alias("lead"))
         met = members.join(lead, "sig").where(c("comp") != c("lead.c")).groupBy(c("id").alias("a"), c("lead.b").alias("b")).agg(F.sum("w").alias("c"))
@@ -435,11 +428,9 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         mixed = relabelled.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("sig")
         members = given = ws.stored(relabelled.join(mixed, "sig", "left_semi"), "members")
         ws.keep(slim, sizes, sketches, members, joined)
-        work, n_rows = leading(members).agg(F.sum("work"), F.sum("c")).first()
-        if not work or work <= tests * n_rows:
-            break
 
-    largest = leading(members).select("sig", "big")
+    share = members.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
+    largest = share.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("m")).select("sig", c("m.comp").alias("big"))
     rows = members.join(largest, "sig").join(check.slim("i"), c("id") == c("i")).select("sig", "id", "comp", "ni", "si", (c("comp") == c("big")).alias("main"))
     left, right = rows.where("not main").alias("l"), rows.alias("r")
     meet = (c("l.sig") == c("r.sig")) & (c("l.comp") != c("r.comp")) & (c("r.main") | (c("l.id") < c("r.id"))) & _similar(num, den, c("l.ni"), c("r.ni"), c("l.si"), c("r.si"))
