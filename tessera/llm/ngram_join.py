@@ -358,20 +358,23 @@ class _Verifier:
         return found
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, rounds: int = 2, partners: int = 8, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000, ws: Workspace | None = None) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, rounds: int = 2, partners: int = 8, passes: int = 3, picks: int = 4, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000, ws: Workspace | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id.
 
     Documents link if the Jaccard similarity of their sets of distinct n-word
     shingles is at least num / den; component_id is the smallest id reachable.
 
     Texts with equal words are one class, which stands for all its copies. In
-    each of at most ``rounds`` rounds every class takes the leaders of its signatures in
-    other components, tries the sketches of the ``partners`` it shares most with
-    and is verified against the best of them, which joins most of a large group
-    of near copies at the cost of one pair each. A last pass takes all pairs that share a signature across components, leaving out those of a
-    signature's largest component among themselves, so no link is lost; sizes
-    and parity sketches, which never rule out a true link, are tested inside
-    the join before a pair is made.
+    each of at most ``rounds`` rounds every class takes the leaders of its
+    signatures in other components, tries the sketches of the ``partners`` it
+    shares most with and is verified against the best of them, which joins most
+    of a large group of near copies at the cost of one pair each. Up to
+    ``passes`` passes follow over signatures of large components, about
+    ``picks`` members of each component by hash, to join what one link suffices
+    to join. A last pass takes all pairs that share a signature across
+    components, leaving out those of a signature's largest component among
+    themselves, so no link is lost; sizes and parity sketches, which never rule
+    out a true link, are tested inside the join before a pair is made.
 
     Texts are read where they lie: they move only if more than
     ``most_broadcast`` ids are looked up, or if an id and its text are repeated.
@@ -415,6 +418,27 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         joined = ws.stored(moved.unionByName(roots.join(old.select("v"), "v", "left_anti")), "roots")
         return roots
 
+    def relabel(roots: DataFrame) -> None:
+        """Give ``members`` their new components; signatures within one component go."""
+        nonlocal members, given
+        relabelled = members.join(roots, c("comp") == c("v"), "left").select("sig", "id", "w", F.coalesce("root", "comp").alias("comp"))
+        mixed = relabelled.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("sig")
+        members = given = ws.stored(relabelled.join(mixed, "sig", "left_semi"), "members")
+        ws.keep(slim, sizes, sketches, members, joined)
+
+    def shares() -> tuple[DataFrame, DataFrame]:
+        """How many members of each signature (sig) each component has (c), and which has most of them."""
+        share = members.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
+        largest = share.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("m")).select("sig", c("m.comp").alias("big"), c("m.c").alias("most"))
+        return share, largest
+
+    def across(chosen: DataFrame) -> DataFrame:
+        """The pairs of chosen members that share a signature across components and may be similar, but for those within the largest one."""
+        rows = chosen.join(check.slim("i"), c("id") == c("i")).select("sig", "id", "comp", "ni", "si", (c("comp") == c("big")).alias("main"))
+        left, right = rows.where("not main").alias("l"), rows.alias("r")
+        meet = (c("l.sig") == c("r.sig")) & (c("l.comp") != c("r.comp")) & (c("r.main") | (c("l.id") < c("r.id"))) & _similar(num, den, c("l.ni"), c("r.ni"), c("l.si"), c("r.si"))
+        return ws.stored(left.join(right, meet).select(c("l.id").alias("a"), c("r.id").alias("b")).distinct(), "pairs")
+
     for r in range(rounds):
         lead = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("o"), c("id").alias("b"), c("comp").alias("c"))).alias("lead"))
         met = members.join(lead, "sig").where(c("comp") != c("lead.c")).groupBy(c("id").alias("a"), c("lead.b").alias("b")).agg(F.sum("w").alias("c"))
@@ -423,18 +447,19 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         best = ws.stored(near.groupBy("a").agg(F.min(F.struct("k", "b")).alias("m")).select("a", c("m.b").alias("b")), "pairs")
         if best.isEmpty() or (links := check.links(best)).isEmpty():
             break
-        roots = absorb(links)
-        relabelled = members.join(roots, c("comp") == c("v"), "left").select("sig", "id", "w", F.coalesce("root", "comp").alias("comp"))
-        mixed = relabelled.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("sig")
-        members = given = ws.stored(relabelled.join(mixed, "sig", "left_semi"), "members")
-        ws.keep(slim, sizes, sketches, members, joined)
+        relabel(absorb(links))
+
+    for p in range(passes):
+        share, largest = shares()
+        chosen = share.join(largest.where(c("most") >= 4 * picks), "sig").select("sig", "comp", "c", "big")
+        few = members.join(chosen, ["sig", "comp"]).where(F.pmod(F.xxhash64(F.lit(-1 - p), "id"), F.ceil(c("c") / picks)) == 0)
+        tried = across(few)
+        if tried.isEmpty() or (links := check.links(tried)).isEmpty():
+            break
+        relabel(absorb(links))
 
-    share = members.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = share.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("m")).select("sig", c("m.comp").alias("big"))
-    rows = members.join(largest, "sig").join(check.slim("i"), c("id") == c("i")).select("sig", "id", "comp", "ni", "si", (c("comp") == c("big")).alias("main"))
-    left, right = rows.where("not main").alias("l"), rows.alias("r")
-    meet = (c("l.sig") == c("r.sig")) & (c("l.comp") != c("r.comp")) & (c("r.main") | (c("l.id") < c("r.id"))) & _similar(num, den, c("l.ni"), c("r.ni"), c("l.si"), c("r.si"))
-    rest = ws.stored(left.join(right, meet).select(c("l.id").alias("a"), c("r.id").alias("b")).distinct(), "pairs")
+    _, largest = shares()
+    rest = across(members.join(largest, "sig"))
     ws.drop(given)
     if not rest.isEmpty() and not (links := check.links(rest)).isEmpty():
         absorb(links)
