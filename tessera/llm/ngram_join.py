@@ -358,7 +358,7 @@ class _Verifier:
         return found
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, rounds: int = 2, partners: int = 8, passes: int = 3, picks: int = 4, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000, ws: Workspace | None = None) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, rounds: int = 2, partners: int = 8, picks: int = 8, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000, ws: Workspace | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id.
 
     Documents link if the Jaccard similarity of their sets of distinct n-word
@@ -368,13 +368,13 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     each of at most ``rounds`` rounds every class takes the leaders of its
     signatures in other components, tries the sketches of the ``partners`` it
     shares most with and is verified against the best of them, which joins most
-    of a large group of near copies at the cost of one pair each. Up to
-    ``passes`` passes follow over signatures of large components, about
-    ``picks`` members of each component by hash, to join what one link suffices
-    to join. A last pass takes all pairs that share a signature across
-    components, leaving out those of a signature's largest component among
-    themselves, so no link is lost; sizes and parity sketches, which never rule
-    out a true link, are tested inside the join before a pair is made.
+    of a large group of near copies at the cost of one pair each. One pass
+    follows over the signatures of large components, with about ``picks``
+    members of each component by hash, to join what one link suffices to join.
+    A last pass takes all pairs that share a signature across components,
+    leaving out those of a signature's largest component among themselves, so
+    no link is lost; sizes and parity sketches, which never rule out a true
+    link, are tested inside the join before a pair is made.
 
     Texts are read where they lie: they move only if more than
     ``most_broadcast`` ids are looked up, or if an id and its text are repeated.
@@ -449,13 +449,11 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             break
         relabel(absorb(links))
 
-    for p in range(passes):
-        share, largest = shares()
-        chosen = share.join(largest.where(c("most") >= 4 * picks), "sig").select("sig", "comp", "c", "big")
-        few = members.join(chosen, ["sig", "comp"]).where(F.pmod(F.xxhash64(F.lit(-1 - p), "id"), F.ceil(c("c") / picks)) == 0)
-        tried = across(few)
-        if tried.isEmpty() or (links := check.links(tried)).isEmpty():
-            break
+    share, largest = shares()
+    chosen = share.join(largest.where(c("most") >= 2 * picks), "sig").select("sig", "comp", "c", "big")
+    few = members.join(chosen, ["sig", "comp"]).where(F.pmod(F.xxhash64(F.lit(-1), "id"), F.ceil(c("c") / picks)) == 0)
+    tried = across(few)
+    if not tried.isEmpty() and not (links := check.links(tried)).isEmpty():
         relabel(absorb(links))
 
     _, largest = shares()

@@ -117,8 +117,8 @@ def test_chains_of_near_copies(spark):
         assert found == sorted(components(docs, 3, 90, 100))
 
 
-@pytest.mark.parametrize("rounds, passes, picks", [(0, 0, 4), (0, 3, 1), (0, 3, 4), (2, 3, 2)])
-def test_large_groups_of_uneven_copies(spark, rounds, passes, picks):
+@pytest.mark.parametrize("rounds, picks", [(0, 1), (0, 4), (0, 1000), (2, 2)])
+def test_large_groups_of_uneven_copies(spark, rounds, picks):
     """Two crowds of copies, many below the threshold to each other, and a few members that link to one or two only."""
     rng, docs = random.Random(12), []
     for crowd in range(2):
@@ -129,7 +129,7 @@ def test_large_groups_of_uneven_copies(spark, rounds, passes, picks):
                 now[rng.randrange(120)] = f"x{rng.getrandbits(40)}"
             docs.append((crowd * 90 + i, " ".join(now)))
     df = spark.createDataFrame(rng.sample(docs, len(docs)), "doc_id long, text string").repartition(6)
-    found = sorted(map(tuple, ngram_join.ngram_components(df, 3, 90, 100, rounds=rounds, passes=passes, picks=picks).collect()))
+    found = sorted(map(tuple, ngram_join.ngram_components(df, 3, 90, 100, rounds=rounds, picks=picks).collect()))
     assert found == sorted(components(docs, 3, 90, 100))
     assert 2 < len({r[2] for r in found}) < 120
 
