@@ -329,9 +329,9 @@ class _Verifier:
         c = F.col
         return pairs.join(self.slim("a"), "a").join(self.slim("b"), "b").where(_similar(self.num, self.den, c("na"), c("nb"), c("sa"), c("sb"))).select("a", "b", *more)
 
-    def sets_of(self, ids: DataFrame) -> DataFrame:
-        """(id, f): the sets of the texts with these ids, which are broadcast up to ``most_broadcast``."""
-        few, n = ids.count() <= self.most_broadcast, self.n
+    def sets_of(self, ids: DataFrame, most: int) -> DataFrame:
+        """(id, f): the sets of the texts with these ids, at most ``most``, which are broadcast up to ``most_broadcast``."""
+        few, n = most <= self.most_broadcast or ids.count() <= self.most_broadcast, self.n
         source = self.docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
         if self.repeated:
             source = source.dropDuplicates(["id", "t"])
@@ -345,17 +345,19 @@ class _Verifier:
 
         return source.select("id", "t").mapInArrow(run, "id long, f array<long>")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs, a stored table, whose sets are similar enough, as a stored table."""
+    def links(self, pairs: DataFrame) -> DataFrame | None:
+        """Those of the pairs, a stored table, whose sets are similar enough, as a stored table; None if there are none."""
+        if not (count := pairs.count()):
+            return None
         ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = self.ws.stored(self.sets_of(ends), "sets")
-        near = F.broadcast(pairs) if pairs.count() <= self.most_broadcast else pairs
+        sets = self.ws.stored(self.sets_of(ends, 2 * count), "sets")
+        near = F.broadcast(pairs) if count <= self.most_broadcast else pairs
         side = lambda x: sets.join(near, F.col("id") == F.col(x)).select("a", "b", F.col("f").alias(f"f{x}"))
         shared = F.size(F.array_intersect("fa", "fb"))
         both = side("a").join(side("b"), ["a", "b"])
         found = self.ws.stored(both.where(shared * (self.den + self.num) >= (F.size("fa") + F.size("fb")) * self.num).select("a", "b").distinct(), "links")
         self.ws.drop(sets)
-        return found
+        return None if found.isEmpty() else found
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, rounds: int = 2, partners: int = 8, picks: int = 8, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000, ws: Workspace | None = None) -> DataFrame:
@@ -445,7 +447,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         ranked = met.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), F.xxhash64(F.lit(r), "b"))))
         near = check.likely(ranked.where(c("k") <= partners).select("a", "b", "k"), "k")
         best = ws.stored(near.groupBy("a").agg(F.min(F.struct("k", "b")).alias("m")).select("a", c("m.b").alias("b")), "pairs")
-        if best.isEmpty() or (links := check.links(best)).isEmpty():
+        if (links := check.links(best)) is None:
             break
         relabel(absorb(links))
 
@@ -453,13 +455,13 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     chosen = share.join(largest.where(c("most") >= 2 * picks), "sig").select("sig", "comp", "c", "big")
     few = members.join(chosen, ["sig", "comp"]).where(F.pmod(F.xxhash64(F.lit(-1), "id"), F.ceil(c("c") / picks)) == 0)
     tried = across(few)
-    if not tried.isEmpty() and not (links := check.links(tried)).isEmpty():
+    if (links := check.links(tried)) is not None:
         relabel(absorb(links))
 
     _, largest = shares()
     rest = across(members.join(largest, "sig"))
     ws.drop(given)
-    if not rest.isEmpty() and not (links := check.links(rest)).isEmpty():
+    if (links := check.links(rest)) is not None:
         absorb(links)
 
     out = slim.join(sizes.select(c("h").alias("_k"), c("id").alias("_rep"), c("n").alias("_n")), c("h") == c("_k"), "left")
@@ -473,31 +475,64 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     return result
 
 
-def connected(edges: DataFrame, ws: Workspace) -> DataFrame:
-    """(v, root) for each vertex of the edges (a, b): root is the smallest vertex reachable.
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(v, root) for each vertex of these edges that is not the smallest of its component; root is that one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up, a, b = np.arange(len(ids)), at[: len(a)], at[len(a) :]
+    while len(a):
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+        a, b = up[a], up[b]
+        a, b = a[a != b], b[a != b]
+    below = np.flatnonzero(up != np.arange(len(ids)))
+    return ids[below], ids[up[below]]
+
+
+def _contracted(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(v, root): edges that connect the same vertices as the edges (a, b), a forest for each ``most`` of a task or all it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                parts.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+                size += len(batch)
+            if parts and (batch is None or size >= most):
+                found = forest(*map(np.concatenate, zip(*parts, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["v", "root"])
+                parts, size = [], 0
+
+    return edges.select("a", "b").mapInArrow(run, "v long, root long")
 
-    Alternates the large-star and small-star steps until neither changes the
-    edges. Each step sends a vertex's neighbours to the smallest one, which is
-    found by a map-side minimum and joined back, so no neighbourhood is gathered
-    in one task; each round is a table, and the one before goes.
+
+def connected(edges: DataFrame, ws: Workspace) -> DataFrame:
+    """(v, root) for each vertex of the edges (a, b) that is not the smallest one reachable; root is that one.
+
+    Each task joins the edges it has into trees of depth one, which settles
+    small tables at once. Until all are such trees, large-star and small-star
+    steps alternate and their edges are joined in tasks again. Each step sends a
+    vertex's neighbours to the smallest one, which is found by a map-side
+    minimum and joined back, so no neighbourhood is gathered in one task; each
+    step is a table, and the one before goes. None of this ever raises a
+    vertex's smallest neighbour, and a round that lowers none has ended, so the
+    rounds end.
     """
-    now = ws.stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    mark = None
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    v, root, a, b, m = map(F.col, ("v", "root", "a", "b", "_m"))
+    now = ws.stored(_contracted(edges.where("a <> b").select("a", "b").distinct()), "edges")
     while True:
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("a", "_m").alias("_m"))
-        large = both.join(low, F.col("a") == F.col("_a")).where("b > a").select(F.col("_m").alias("a"), "b").where("a <> b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("_m")).select(F.col("b").alias("_b"), "_m")
-        joined = large.join(least, F.col("b") == F.col("_b"))
-        small = joined.select(F.col("_m").alias("_x"), F.col("a").alias("_y")).unionByName(joined.select(F.col("_m").alias("_x"), F.col("b").alias("_y")))
-        before, now = now, ws.stored(small.where("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct(), "edges")
-        ws.drop(before)
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(new) == mark:
-            roots = ws.stored(now.select(F.col("b").alias("v"), F.col("a").alias("root")), "roots")
-            ws.drop(now)
-            return roots
-        mark = tuple(new)
+        ends = now.select(F.inline(F.array(pair(root, F.lit(None).cast("long")), pair(v, root))))
+        if ends.groupBy("a").agg(F.count("b").alias("_c"), F.count(F.lit(1)).alias("_n")).where("_c > 0 and _n > 1").isEmpty():
+            return now  # what has a root is nobody's root and has no other
+        both = now.select(F.inline(F.array(pair(v, root), pair(root, v))))
+        low = both.groupBy(a.alias("_a")).agg(F.min("b").alias("_b")).select("_a", F.least("_a", "_b").alias("_m"))
+        large = ws.stored(both.join(low, a == F.col("_a")).where(b > a).select(m.alias("a"), "b").distinct(), "large")
+        ws.drop(now)
+        least = large.groupBy(b.alias("_b")).agg(F.min("a").alias("_m"))
+        small = large.join(least, b == F.col("_b")).select(F.inline(F.array(pair(m, a), pair(m, b))))
+        now = ws.stored(_contracted(small.where("a <> b").distinct()), "edges")
+        ws.drop(large)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, cells: int = 3, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 500_000) -> DataFrame:

@@ -138,3 +138,60 @@ def test_connected(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (103, 101), (7, 7)]
     found = dict(map(tuple, ngram_join.connected(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "test")).collect()))
     assert found == {i: 1 for i in range(2, 61)} | {101: 100, 103: 100}
+
+
+def joined(edges):
+    """The smallest vertex that each vertex reaches, for those that reach a smaller one."""
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for e in edges:
+        a, b = sorted(map(find, e))
+        root[b] = a
+    return {x: find(x) for x in root if find(x) != x}
+
+
+def jobs(spark, name, run):
+    """What ``run`` returns, and how many Spark jobs it started."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        return run(), len(context.statusTracker().getJobIdsForGroup(name))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_forest():
+    rng = random.Random(2)
+    for n, m in ((1, 0), (5, 3), (300, 200), (300, 900)):
+        edges = [(rng.randrange(-n, n), rng.randrange(-n, n)) for _ in range(m)] + [(2**62, -(2**62))]
+        v, root = ngram_join.forest(*(np.array(x, np.int64) for x in zip(*edges, strict=True)))
+        assert len(v) == len(set(v.tolist())) and dict(zip(v.tolist(), root.tolist(), strict=True)) == joined(edges)
+
+
+def test_connected_in_many_tasks(spark):
+    """With edges dealt over tasks that never meet in one, so that the steps between tasks are needed."""
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 - i, 999 - i) for i in range(90)] + [(2000, 3000 + i) for i in range(60)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(before, ("9", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        found = list(map(tuple, ngram_join.connected(df, Workspace(spark, "test")).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == len(dict(found)) and dict(found) == joined(edges)
+
+
+def test_small_components_take_few_jobs(spark):
+    """Each query leaves plans, broadcasts and threads with the driver: over 1500 MB of them in a session of several runs."""
+    edges = [(i, i + 1) for i in range(60)]
+    found, count = jobs(spark, "connected", lambda: ngram_join.connected(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "test")))
+    assert dict(map(tuple, found.collect())) == joined(edges)
+    assert 0 < count <= 8
